@@ -40,12 +40,12 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column in one array, and len+1 offsets into it; null counts as empty."""
+    """The (UTF-8) bytes of a string or binary column in one array, and len+1 offsets into it; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or off[-1] == off[0]:
@@ -53,7 +53,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of about `most` bytes each; a longer text makes a range of its own."""
     a, n = 0, len(off) - 1
     while a < n:

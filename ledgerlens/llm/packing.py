@@ -83,10 +83,10 @@ def pack(docs: DataFrame, tokenizer_path: str, n_buckets: int = N_BUCKETS, budge
     lengths = materialize(token_lengths(docs, tokenizer_path, id_col, text_col), "lengths")
     histogram = lengths.where(F.col("n_tokens") <= budget).groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
     limits, _ = bucket_limits(histogram["n_tokens"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), n_buckets)
-    bucket = F.lit(-1)
+    bucket, limit = F.lit(-1), F.col("n_tokens")
     for i in reversed(range(len(limits))):
         bucket = F.when(F.col("n_tokens") <= limits[i], i).otherwise(bucket)
-    limit = F.coalesce(F.element_at(F.array(*map(F.lit, limits)), F.when(F.col("bucket") >= 0, F.col("bucket") + 1)) if limits else F.lit(None), F.col("n_tokens"))
+        limit = F.when(F.col("n_tokens") <= limits[i], limits[i]).otherwise(limit)
     rows = lengths.withColumn("bucket", bucket).withColumn("bucket_limit", limit.cast("long"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int"))
     counts = rows.groupBy("bucket", "chunk").count()  # at most (n_buckets + 1) * CHUNKS rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, tokenfile
+from . import neardup, packing, suffixdedup, tokenfile
 from .common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -22,9 +22,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), WORDS)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_length_packing, op5_token_files, op7_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_length_packing, op5_token_files, op6_substring_dedup, op7_near_duplicates)}
 ORACLES: dict[str, str] = {}
