@@ -34,8 +34,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch into Python, so that batches of whole texts stay small however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads, under fixed names, whatever else the input carries."""
+    """Only the two columns an operator reads, under fixed names, whatever else the input carries.
+
+    Also holds the session's Arrow batches to BATCH_BYTES, for whole texts pass through them.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
