@@ -1,27 +1,49 @@
-"""The training-data pipeline over documents; see STAGES."""
+"""The training-data pipeline over documents: toxicity, near-duplicates, decontamination, personal data, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import neardup, packing
+from ledgerlens.llm import decontaminate, neardup, packing, pii, toxicity
 from ledgerlens.llm.common import materialize, table
 from ledgerlens.llm.queries import WORDS
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labels outside the held-out fold."""
+    found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return _only(docs, found.where("predicted = 0"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: that with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, neardup.near_duplicates(docs).where("kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _only(docs, found.where("not is_contaminated"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text becomes [EMAIL], [IP], [CARD] or [PHONE], and n_chars follows."""
+    redacted = pii.redact(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's length bucket, batch and slot."""
     return packing.pack(docs, WORDS)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("packing", packed)]
-#: The stages use hashing, trained models and dynamic programming, which SQL cannot express.
+STAGES = [("toxicity", not_toxic), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("personal_data", without_personal_data), ("packing", packed)]
+#: The stages use trained models, hashing and dynamic programming, which SQL cannot express.
 ORACLE_SQL = None
 
 
