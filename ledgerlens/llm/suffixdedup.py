@@ -50,6 +50,21 @@ def anchors(b: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.nda
     return at, h[at]
 
 
+def span_of(at: np.ndarray, h: np.ndarray, on: np.ndarray, off: np.ndarray, row: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte range that holds the strings for which an anchor decides: those that reach neither neighbour with a lesser bucket."""
+    reach, n = length - q, len(at)
+    k = np.flatnonzero(on)
+    a, e = np.maximum(at[k] - reach, off[row[k]]), np.minimum(at[k] + length, off[row[k] + 1])
+    left, right = k - 1, k + 1
+    near = left >= 0
+    less = near & (h[np.maximum(left, 0)] < h[k])
+    a = np.where(less, np.maximum(a, at[np.maximum(left, 0)] + 1), a)
+    near = right < n
+    less = near & (h[np.minimum(right, n - 1)] < h[k])
+    e = np.where(less, np.minimum(e, at[np.minimum(right, n - 1)] - 1 + q), e)
+    return a, np.maximum(e, at[k] + q)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
     """(bucket, doc) of every anchor of the first documents, once for each document."""
     for batch in batches:
@@ -98,6 +113,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
     """(h, doc, part, at, left, bytes) of each anchor in a shared bucket; part tells texts of one doc_id apart."""
     reach = length - q
     for batch in batches:
+        batch = batch.filter(batch.column("first"))
         b, off = text_bytes(batch.column("text"))
         ids, parts, lists = batch.column("doc").to_numpy(), batch.column("part").to_numpy(), batch.column("hs")
         values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
@@ -111,9 +127,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
             known = mix(values[ends[lo] : ends[hi]].view(np.uint64) ^ (np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])).astype(np.uint64) * BASE))
             on = np.isin(mix(h ^ (row.astype(np.uint64) * BASE)), known)
             p, hp, r = at[on], h[on], row[on]
-            a, e = np.maximum(p - reach, part[r]), np.minimum(p + length, part[r + 1])
             if not len(p):
                 continue
+            # an anchor stands for the strings in which it is least: from behind the last lesser bucket to the next one
+            a, e = span_of(at, h, on, part, row, length, q)
             sizes = e - a
             stop = np.cumsum(sizes)
             flat = s[np.repeat(a - stop + sizes, sizes) + np.arange(stop[-1])]
@@ -229,19 +246,24 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text
     if not 2 * q <= length <= 3 * q:
         raise ValueError("length must be from 2q to 3q")
     rows = documents_of(docs, id_col, text_col)
+    # every step reads the text under the same plan, without filters of its own, so that its exchange is made once
     digests = rows.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    firsts = digests.join(least, "digest").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.hex("digest"))).alias("later"))
+    later = F.array_sort(F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.hex("digest"))))
+    firsts = digests.join(least, "digest").groupBy(F.col("doc_id").alias("doc")).agg(later.alias("later"), F.array_sort(F.collect_set("digest")).alias("all"))
     whole = rows.withColumnRenamed("doc_id", "doc").join(firsts, "doc", "left")
-    whole = whole.withColumn("first", F.col("doc").isNotNull() & ~F.coalesce(F.array_contains("later", F.when(F.size("later") > 0, F.hex(F.unhex(F.sha2("text", 256))))), F.lit(False))).drop("later")
+    own = F.unhex(F.sha2("text", 256))
+    copy = F.coalesce(F.array_contains("later", F.when(F.size("later") > 0, F.hex(own))), F.lit(False))
+    part = F.when(F.size("all") > 1, F.array_position("all", own)).otherwise(F.lit(0).cast("long"))
+    whole = whole.select("doc", "text", (F.col("doc").isNotNull() & ~copy).alias("first"), F.coalesce(part, F.lit(-1).cast("long")).alias("part"))
 
     buckets = whole.mapInArrow(lambda it: _buckets(it, length, q), "h long, doc long")
     shared = buckets.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "doc long, h long")
     lists = shared.groupBy("doc").agg(F.collect_set("h").alias("hs"))
-    met = whole.where("first").join(lists, "doc").select("doc", F.xxhash64("text").alias("part"), "text", "hs")
+    met = whole.join(lists, "doc", "left")
     near = met.mapInArrow(lambda it: _contexts(it, length, q), "h long, doc long, part long, at long, left int, bytes binary")
     gone = near.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(lambda it: _refined(it, length, q), "doc long, part long, a long, e long")
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct("part", "a", "e")).alias("spans"))
     schema = RESULT + (", kept binary" if with_text else "")
-    final = whole.withColumn("first", F.col("doc").isNull() | F.col("first")).join(spans, "doc", "left").select("doc", F.xxhash64("text").alias("part"), "text", "first", "spans")
+    final = whole.withColumn("first", F.col("doc").isNull() | F.col("first")).join(spans, "doc", "left")
     return final.mapInArrow(lambda it: _cut(it, length, with_text), schema)

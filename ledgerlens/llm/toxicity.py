@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import documents_of, materialize
 
 N_TOXIC, N_ORDINARY = 3000, 6000
-GRAM, SUPPORT, CONTRAST, MOST_GRAMS = 5, 0.01, 3.0, 4096
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, MOST_WINDOWS = 4096, 32768, 19, 8, 64
-MARGIN, MOST_KEPT, CUT = 3, 400_000, 0.3
+GRAM, LONGEST, SUPPORT, CONTRAST, MOST_GRAMS = 5, 24, 0.015, 2.5, 8192
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, MOST_WINDOWS = 16384, 32768, 19, 8, 64
+STEPS, MARGINS, MOST_KEPT, CUT = (2, 3, 4, 5, 6, 7), (1, 2, 3, 4), 400_000, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,8 +41,9 @@ def words(text: str | None) -> list[str]:
 
 
 def word_grams(word: str) -> set[str]:
+    """All n-grams of the word between blanks, and its longer beginnings, up to the whole of it."""
     w = f" {word} "
-    return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)}
+    return {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)} | {w[:k] for k in range(GRAM + 1, min(len(w), LONGEST) + 1)}
 
 
 @dataclass
@@ -80,12 +81,12 @@ class Windows:
         return n
 
     def features(self, text: str | None) -> list[float]:
-        """A constant, the greatest saving as steps, and how many windows (distinct ones, and their share) reach the margin."""
-        w = words(text)
-        each = set(w)
-        hit = [n for x in each if (n := self.saved(x)) >= MARGIN]
-        top = max(hit, default=0)
-        return [1.0, *(float(top >= MARGIN + k) for k in range(6)), math.log1p(len(hit)), len(hit) / max(1, len(each)) ** 0.5]
+        """A constant, the greatest saving as steps, and how many distinct windows reach each margin, also for the text's size."""
+        each = set(words(text))
+        saved = [n for x in each if (n := self.saved(x)) > 0]
+        top, root = max(saved, default=0), max(1, len(each)) ** 0.5
+        hits = [sum(n >= m for n in saved) for m in MARGINS]
+        return [1.0, *(float(top >= k) for k in STEPS), *map(math.log1p, hits), hits[1] / root, hits[2] / root]
 
 
 _windows: dict[int, Windows] = {}
