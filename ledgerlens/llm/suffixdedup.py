@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +66,24 @@ def span_of(at: np.ndarray, h: np.ndarray, on: np.ndarray, off: np.ndarray, row:
     return a, np.maximum(e, at[k] + q)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, z, own): each text compressed, as it is shuffled whole, and the digest that tells it from other texts of one id."""
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        own = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(z.compress, texts), pa.binary()), own], names=["doc", "z", "own"])
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(x) for x in column.to_pylist()]
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
     """(bucket, doc) of every anchor of the first documents, once for each document."""
     for batch in batches:
         batch = batch.filter(batch.column("first"))
-        b, off = text_bytes(batch.column("text"))
+        b, off = text_bytes(pa.array(_texts(batch.column("z")), pa.large_binary()))
         ids = batch.column("doc").to_numpy()
         for lo, hi in slices(off):
             part = off[lo : hi + 1] - off[lo]
@@ -114,7 +128,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterato
     reach = length - q
     for batch in batches:
         batch = batch.filter(batch.column("first"))
-        b, off = text_bytes(batch.column("text"))
+        b, off = text_bytes(pa.array(_texts(batch.column("z")), pa.large_binary()))
         ids, parts, lists = batch.column("doc").to_numpy(), batch.column("part").to_numpy(), batch.column("hs")
         values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
         for lo, hi in slices(off):
@@ -215,9 +229,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)}
-        texts, spans, first, parts = batch.column("text"), batch.column("spans"), batch.column("first").to_pylist(), batch.column("part").to_pylist()
+        texts, spans, first, parts = _texts(batch.column("z")), batch.column("spans"), batch.column("first").to_pylist(), batch.column("part").to_pylist()
         for i, doc in enumerate(batch.column("doc").to_pylist()):
-            b = (texts[i].as_py() or "").encode()
+            b = texts[i]
             s = sorted((x["a"], x["e"]) for x in spans[i].as_py() or [] if x["part"] == parts[i])
             if first[i] is False:
                 s = [(0, len(b))] if len(b) >= length else []
@@ -249,13 +263,12 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text
     # every step reads the text under the same plan, without filters of its own, so that its exchange is made once
     digests = rows.where("doc_id is not null and text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    later = F.array_sort(F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.hex("digest"))))
+    later = F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.col("digest")))
     firsts = digests.join(least, "digest").groupBy(F.col("doc_id").alias("doc")).agg(later.alias("later"), F.array_sort(F.collect_set("digest")).alias("all"))
-    whole = rows.withColumnRenamed("doc_id", "doc").join(firsts, "doc", "left")
-    own = F.unhex(F.sha2("text", 256))
-    copy = F.coalesce(F.array_contains("later", F.when(F.size("later") > 0, F.hex(own))), F.lit(False))
-    part = F.when(F.size("all") > 1, F.array_position("all", own)).otherwise(F.lit(0).cast("long"))
-    whole = whole.select("doc", "text", (F.col("doc").isNotNull() & ~copy).alias("first"), F.coalesce(part, F.lit(-1).cast("long")).alias("part"))
+    whole = rows.mapInArrow(_squeeze, "doc long, z binary, own binary").join(firsts, "doc", "left")
+    copy = F.coalesce(F.array_contains("later", F.col("own")), F.lit(False))
+    part = F.when(F.size("all") > 1, F.array_position("all", F.col("own"))).otherwise(F.lit(0).cast("long"))
+    whole = whole.select("doc", "z", (F.col("doc").isNotNull() & ~copy).alias("first"), F.coalesce(part, F.lit(-1).cast("long")).alias("part"))
 
     buckets = whole.mapInArrow(lambda it: _buckets(it, length, q), "h long, doc long")
     shared = buckets.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "doc long, h long")
