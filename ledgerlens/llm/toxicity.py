@@ -5,11 +5,14 @@ texts that hold a contrasting n-gram (one that toxic texts have far oftener than
 window is compressed with the ordinary dictionary, and with the toxic one placed before it; the
 toxic dictionary can then only save bytes by what ordinary text lacks. Every window is one word with
 a fixed run of ordinary text before it, so that frame costs cancel and equal windows are compressed
-once in a worker. A logistic calibration on other labelled documents turns the savings of a text's
-windows into a score.
+once in a worker. Letters are two bytes wide (UTF-16), which doubles what a match saves against what
+it costs, so that short words show. The library's trainer passes over words shorter than its
+segments, so the toxic dictionary is made of those words themselves, the commonest last (nearest).
+A logistic calibration on other labelled documents turns the savings of a text's windows into a score.
 
 Fitting uses at most N_TOXIC and N_ORDINARY labelled documents, those with the least hash of the
-doc_id; one half trains the dictionaries, the other the calibration.
+doc_id, and of near copies among them (that share one of eight MinHash values) one; one half trains
+the dictionaries, the other the calibration.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, materialize
+from .neardup import minhashes, shingle_sets
 
 N_TOXIC, N_ORDINARY = 3000, 6000
-GRAM, LONGEST, SUPPORT, CONTRAST, MOST_GRAMS = 5, 24, 0.015, 2.5, 8192
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, MOST_WINDOWS = 16384, 32768, 19, 8, 64
+GRAM, LONGEST, SUPPORT, CONTRAST, MOST_GRAMS = 5, 24, 0.01, 3.0, 8192
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, MOST_WINDOWS = 32768, 65536, 19, 8, 64
 STEPS, MARGINS, MOST_KEPT, CUT = (2, 3, 4, 5, 6, 7), (1, 2, 3, 4), 400_000, 0.3
+WIDE = "utf-16-le"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -75,7 +80,7 @@ class Windows:
         if n is None:
             if len(self.kept) >= MOST_KEPT:
                 self.kept.clear()
-            b = self.carrier + f" {word} ".encode()
+            b = self.carrier + f" {word} ".encode(WIDE)
             ordinary, toxic = (len(c.compress(b)) for c in self.pair)
             n = self.kept[word] = ordinary - toxic
         return n
@@ -99,13 +104,25 @@ def windows(model: Model) -> Windows:
     return _windows[model.key()]
 
 
-def _content(size: int, samples: list[bytes], **how) -> bytes:
+def _ordinary_content(samples: list[bytes]) -> bytes:
     """A trained dictionary's content; with too few samples to train one, the samples themselves."""
     try:
-        d = zstandard.train_dictionary(size, samples, **how).as_bytes()
+        d = zstandard.train_dictionary(ORDINARY_BYTES, samples, d=8, k=64).as_bytes()
         return d[min(len(d) // 4, 512) :]  # behind the header and entropy tables
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:].ljust(64)
+        return b"".join(dict.fromkeys(samples))[-ORDINARY_BYTES:].ljust(64)
+
+
+def _toxic_content(samples: list[bytes]) -> bytes:
+    """The commonest words of the windows, most of all last."""
+    common = Counter(w for x in samples for w in x.decode(WIDE).split())
+    out = b""
+    for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
+        one = f" {w} ".encode(WIDE)
+        if len(out) + len(one) > TOXIC_BYTES:
+            break
+        out = one + out
+    return out
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +143,25 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[int]]:
         ids += [(r.doc_id, toxic) for r in each.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # at most N_TOXIC + N_ORDINARY rows
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
-    texts = documents_of(docs).join(F.broadcast(chosen), "doc_id").withColumn("half", half)
-    return materialize(texts.select("text", "toxic", "half").repartition(32), "toxic-sample"), [n.get(0, 0), n.get(1, 0)]
+    texts = materialize(documents_of(docs).join(F.broadcast(chosen), "doc_id").withColumn("half", half).repartition(32), "toxic-sample")
+    met: set[tuple[int, int]] = set()
+    kept = []
+    for r in sorted(texts.mapInArrow(_minima, "doc_id long, minima array<long>").collect(), key=lambda r: r.doc_id):
+        values = set(enumerate(r.minima))
+        if met.isdisjoint(values):
+            kept.append((r.doc_id,))
+        met |= values
+    one = docs.sparkSession.createDataFrame(kept, "doc_id long")
+    return texts.join(F.broadcast(one), "doc_id").select("text", "toxic", "half"), [n.get(0, 0), n.get(1, 0)]
+
+
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Eight MinHash values of each text that has a word."""
+    for batch in batches:
+        sets = list(shingle_sets(batch.column("text")))
+        some = [i for i, s in enumerate(sets) if len(s)]
+        m = minhashes([sets[i] for i in some])[:, :8].view(np.int64).tolist() if some else []
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some, pa.int64())), pa.array(m, pa.list_(pa.int64()))], names=["doc_id", "minima"])
 
 
 def _training_windows(batches: Iterator[pa.RecordBatch], good: set[str]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +172,7 @@ def _training_windows(batches: Iterator[pa.RecordBatch], good: set[str]) -> Iter
             w = words(text)
             if toxic:
                 w = [x for x in w if not good.isdisjoint(word_grams(x))]
-            cut = [(" " + " ".join(w[i : i + WINDOW]) + " ").encode() for i in range(0, len(w), WINDOW)]
+            cut = [(" " + " ".join(w[i : i + WINDOW]) + " ").encode(WIDE) for i in range(0, len(w), WINDOW)]
             if len(cut) > MOST_WINDOWS:
                 cut = [cut[i * len(cut) // MOST_WINDOWS] for i in range(MOST_WINDOWS)]
             kind += [toxic] * len(cut)
@@ -175,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by_class = [sorted(bytes(r.cut) for r in cuts if r.toxic == k) for k in (0, 1)]
     if not by_class[1] or not by_class[0]:
         return Model(b"", b"", None)
-    model = Model(_content(TOXIC_BYTES, by_class[1], d=6, k=32), _content(ORDINARY_BYTES, by_class[0], d=8, k=64), None)
+    model = Model(_toxic_content(by_class[1]), _ordinary_content(by_class[0]), None)
     rows = sample.where("half = 1").select("text", "toxic").mapInArrow(lambda it: _featured(it, model), "toxic int, x array<double>").collect()
     y = np.array([r.toxic for r in rows], float)
     if not len(y):

@@ -30,7 +30,7 @@ def test_held_out_accuracy(spark, docs):
 
 
 def test_scores_do_not_depend_on_the_memo():
-    model = toxicity.Model(b"blorghead zuckwurst " * 20, b"monel taridi kerun osmon " * 200, [0.0] * 13)
+    model = toxicity.Model(("blorghead zuckwurst " * 20).encode(toxicity.WIDE), ("monel taridi kerun osmon " * 200).encode(toxicity.WIDE), [0.0] * 13)
     w = toxicity.Windows(model)
     first = w.saved("zuckwurst")
     w.kept.clear()
