@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,14 @@ def sliding(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     return f(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def repository_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """For tasks with large memos of strings: these hold no cycles, and the collector would walk them over and over."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def arrow_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, materialize
+from .common import documents_of, materialize, without_collector
 from .wordbpe import encoder
 
 N_BUCKETS, BUDGET, CHUNKS = 16, 16_384, 256
@@ -33,7 +33,8 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         enc = encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sizes = [enc.lengths([t or "" for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)]
+            with without_collector():
+                sizes = [enc.lengths([t or "" for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *sizes]) + 1)], names=["doc_id", "n_tokens"])
 
     return documents_of(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")

@@ -15,7 +15,6 @@ changes no result.
 
 from __future__ import annotations
 
-import gc
 import math
 import string
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASE, documents_of, mix
+from .common import BASE, documents_of, mix, without_collector
 
 MOST_KNOWN, MOST_LENGTH, ROWS, MARK = 500_000, 64, 20_000, "▁"
 PUNCTUATION = string.punctuation
@@ -159,8 +158,7 @@ def token_counts(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memo holds no cycles, and the collector would walk it over and over
-        try:
+        with without_collector():
             for batch in batches:
                 t = trie(pieces_path)
                 runs = [x.split() if x else [] for x in batch.column(1).to_pylist()]
@@ -171,7 +169,5 @@ def token_counts(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text
                 count = t.known.__getitem__
                 columns = [list(map(len, runs)), [sum(map(count, r)) for r in runs], list(map(len, distinct))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_runs", "n_tokens", "n_distinct"])
-        finally:
-            gc.enable()
 
     return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_runs long, n_tokens long, n_distinct long")

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of, shared_dir
+from .common import documents_of, shared_dir, without_collector
 from .wordbpe import encoder
 
 END_ID, NO_ID = 1, np.iinfo(np.int64).min
@@ -60,7 +60,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             texts = batch.column(1).to_pylist()
             files[2].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             for i in range(0, len(texts), 256):
-                ids = enc.encode([t or "" for t in texts[i : i + 256]])
+                with without_collector():
+                    ids = enc.encode([t or "" for t in texts[i : i + 256]])
                 sizes = np.array([len(x) + 1 for x in ids])
                 flat = np.empty(sizes.sum(), kind)
                 ends = np.cumsum(sizes)

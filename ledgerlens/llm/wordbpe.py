@@ -1,18 +1,26 @@
 """Token ids of whole texts through the `tokenizers` library, sharing the work of repeated chunks.
 
 The tokenizer's pieces never cross white space, so a text's ids are those of its chunks between
-spaces and line feeds, one after another. Each worker keeps the ids of the chunks it has met (at
-most MOST_CHUNKS, then it starts afresh; that changes no result) and sends only new ones to the
-library, many in one string with a separator between them.
+spaces and line feeds, one after another. A chunk is taken apart further where the tokenizer's own
+rules surely cut it: ASCII punctuation at its end is a piece run of its own, and if all letters are
+of Latin-1 the rest is lower-cased first. What is left is encoded once by each worker and kept (at most
+MOST_CHUNKS chunks, then it starts afresh; that changes no result): by the tokenizer's model alone if it is
+one run of letters, else by the whole tokenizer, many in one string with a separator between them.
+For a file with other rules than those checked in `_letters_apart` chunks stay whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
+from itertools import repeat
 
 import numpy as np
 
-MOST_CHUNKS, MOST_LENGTH, SEPARATOR = 400_000, 64, "\x01"
+MOST_CHUNKS, MOST_LENGTH, SEPARATOR = 500_000, 64, "\x01"
+#: Fixed value: how a tokenizer must cut texts for letter runs and punctuation to be apart.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -24,44 +32,93 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level vocabularies use for each byte (given as the letter of its number)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.stop = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.apart = self._letters_apart()
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.visible = byte_letters()
         self.clear()
 
+    def _letters_apart(self) -> bool:
+        """Whether the file lower-cases, cuts with SPLIT and then takes bytes."""
+        c = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (c.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (c.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT} and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and c["model"]["type"] == "BPE"
+
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {}  # chunk to the numbers of its two parts
+        self.part: dict[str, int] = {}
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _several(self, parts: list[str]) -> list[list[int]]:
+        """The ids of each of some strings without blanks, from one call."""
+        ids = self.plain(f" {SEPARATOR} ".join(parts))
+        out: list[list[int]] = [[]]
+        for i in ids:
+            if len(self.stop) == 1 and i == self.stop[0]:
+                out.append([])
+            else:
+                out[-1].append(i)
+        return out if len(out) == len(parts) else [self.plain(x) for x in parts]  # one holds the separator itself
+
+    def _encode_parts(self, new: list[str]) -> None:
+        found: list[list[int] | None] = []
+        rest: list[int] = []
+        for k, x in enumerate(new):
+            if self.apart and x.isalpha() and max(x) < "\u0100":
+                if not x.isascii():
+                    x = x.encode().decode("latin-1").translate(self.visible)
+                found.append([t.id for t in self.model.tokenize(x)])
+            else:
+                found.append(None)
+                rest.append(k)
+        for i in range(0, len(rest), 2000):
+            group = rest[i : i + 2000]
+            for k, ids in zip(group, self._several([new[k] for k in group]), strict=True):
+                found[k] = ids
+        n = len(self.sizes)
+        self.part.update(zip(new, range(n, n + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, np.array([t for x in found for t in x], np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.array(list(map(len, found)), np.int64)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
     def _learn(self, new: list[str]) -> None:
-        parts: list[np.ndarray] = []
-        for i in range(0, len(new), 2000):
-            group = new[i : i + 2000]
-            ids = np.array(self.plain(f" {SEPARATOR} ".join(group)), np.int64)
-            cuts = np.flatnonzero(ids == self.stop[0]) if len(self.stop) == 1 else np.empty(0, np.int64)
-            if len(cuts) == len(group) - 1:
-                parts += [p[1:] if k else p for k, p in enumerate(np.split(ids, cuts))]
-            else:  # a chunk holds the separator itself
-                parts += [np.array(self.plain(x), np.int64) for x in group]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        base = len(self.ids)
-        self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, *parts])
-        n = len(self.at)
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
+        pairs = []
+        for c in new:
+            stem = c.rstrip(string.punctuation) if self.apart else c
+            end = c[len(stem) :]
+            special = any(x in c for x in self.special)
+            if end and (special or not (stem and stem[-1].isalpha())):
+                stem, end = c, ""
+            if self.apart and not special and not stem.islower() and stem and max(stem) < "\u0100":
+                stem = stem.lower()
+            pairs.append((stem, end))
+        if missing := list(dict.fromkeys(x for p in pairs for x in p if x not in self.part)):
+            self._encode_parts(missing)
+        part = self.part
+        self.at.update((c, part[a] << 32 | part[b]) for c, (a, b) in zip(new, pairs, strict=True))
 
     def chunks(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int] | None]]:
-        """For each text the numbers of its chunks; or, if a chunk is over MOST_LENGTH, all its ids."""
+        """For each text the numbers of its chunks' parts; or, if a chunk is over MOST_LENGTH, all its ids."""
         if len(self.at) > MOST_CHUNKS:
             self.clear()
         words, whole = [], []
@@ -70,11 +127,14 @@ class ChunkEncoder:
             long = max(map(len, w)) > MOST_LENGTH
             words.append([] if long else w)
             whole.append(self.plain(t) if long else None)
-        at = self.at
-        new = list(dict.fromkeys(x for w in words for x in w if x not in at))
+        found = [np.fromiter(map(self.at.get, w, repeat(-1)), np.int64, len(w)) for w in words]
+        missing = [np.flatnonzero(f < 0).tolist() for f in found]
+        new = list(dict.fromkeys(w[k] for w, m in zip(words, missing, strict=True) for k in m))
         if new:
             self._learn(new)
-        return [np.fromiter(map(at.__getitem__, w), np.int64, len(w)) for w in words], whole
+            for f, w, m in zip(found, words, missing, strict=True):
+                f[m] = [self.at[w[k]] for k in m]
+        return [np.stack([f >> 32, f & 0xFFFFFFFF], axis=1).reshape(-1) for f in found], whole
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         numbers, whole = self.chunks(texts)
