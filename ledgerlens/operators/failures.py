@@ -19,6 +19,8 @@ def sample_failures(scored: DataFrame, per_group: int = PER_GROUP, seed: int = 0
 def annotate(sample: DataFrame, prepared: DataFrame, fields: list[Field] = FIELDS) -> DataFrame:
     """Adds statement_table, read_row and nearby_rows (the labels up to two rows away, or all labels cut to 400 letters)."""
     spark = sample.sparkSession
+    if "matched_label" not in sample.columns:
+        sample = sample.withColumn("matched_label", F.lit(None).cast("string"))
     statements = F.broadcast(spark.createDataFrame([(f.key, f.statement) for f in fields], "field string, wanted string"))
     wanted = prepared.join(sample.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = pick_statements(table_features(wanted.select("doc_id", F.inline("tables"))))

@@ -27,24 +27,26 @@ def concept_candidates(filings: DataFrame, facts: DataFrame, concepts: DataFrame
     without a start if there are any); different values are a conflict, else the first fact counts.
     """
     keyed = facts.join(concepts, ["concept", "unit"])
-    own = filings.select("doc_id", "cik", "accession", "report_date").join(keyed, "cik")
-    same = F.col("accn") == F.col("accession")
-    ends = same & (F.col("end") == F.col("report_date"))
+    what = ["field", "position", "concept", "unit", "duration"]
+    own = filings.select("doc_id", "cik", "accession", "report_date").join(keyed.withColumnRenamed("accn", "accession"), ["cik", "accession"])
+    ends = F.col("end") == F.col("report_date")
     annual = ends & is_annual(F.col("start"), F.col("end"))
     instant = ends & F.col("start").isNull()
-    marked = own.groupBy("doc_id", "field", "position", "concept", "unit", "duration").agg(
-        F.count_if(same).alias("n_same"),
+    rounded = F.round("val", 6)
+    marked = own.groupBy("doc_id", *what).agg(
         F.count_if(ends).alias("n_ends"),
         F.count_if(annual).alias("n_annual"),
         F.count_if(instant).alias("n_instant"),
-        *[F.count_distinct(F.when(c, F.round("val", 6))).alias(f"d_{n}") for n, c in (("annual", annual), ("instant", instant), ("ends", ends))],
+        *[(F.min(F.when(c, rounded)) < F.max(F.when(c, rounded))).alias(f"d_{n}") for n, c in (("annual", annual), ("instant", instant), ("ends", ends))],
         *[F.min_by(F.when(c, F.col("val")), F.when(c, F.col("ordinal"))).alias(f"v_{n}") for n, c in (("annual", annual), ("instant", instant), ("ends", ends))],
     )
+    tried = filings.select("doc_id", "cik").join(keyed.select("cik", *what).distinct(), "cik").drop("cik")
+    marked = tried.join(marked.withColumn("n_same", F.lit(1)), ["doc_id", *what], "left")
     use = F.when(F.col("duration"), "annual").when(F.col("n_instant") > 0, "instant").otherwise("ends")
     pick = lambda k: F.when(use == "annual", F.col(f"{k}_annual")).when(use == "instant", F.col(f"{k}_instant")).otherwise(F.col(f"{k}_ends"))
     reason = (
-        F.when(F.col("n_same") == 0, "no_fact_in_filing").when(F.col("n_ends") == 0, "no_period_end_match").when(F.col("duration") & (F.col("n_annual") == 0), "no_annual_duration")
-        .when(pick("d") > 1, "conflicting_values").otherwise("ok")
+        F.when(F.col("n_same").isNull(), "no_fact_in_filing").when(F.col("n_ends") == 0, "no_period_end_match").when(F.col("duration") & (F.col("n_annual") == 0), "no_annual_duration")
+        .when(pick("d"), "conflicting_values").otherwise("ok")
     )
     return marked.select("doc_id", "field", "position", "concept", "unit", reason.alias("reason"), F.when(reason == "ok", pick("v")).alias("value"))
 
