@@ -10,25 +10,27 @@ from ledgerlens.llm.common import materialize, table
 from ledgerlens.llm.queries import WORDS
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rejected ids. Rows of one id go together; a null id is an id like others."""
+    ids = rejected.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on the labels outside the held-out fold."""
     found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, found.where("predicted = 0"))
+    return _without(docs, found.where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: that with the smallest doc_id."""
-    return _only(docs, neardup.near_duplicates(docs).where("kept"))
+    return _without(docs, neardup.near_duplicates(docs).where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("not is_contaminated"))
+    return _without(docs, found.where("is_contaminated"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,9 +228,14 @@ def digest_columns(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with every span in its text column replaced by [KIND]; all other columns stay. id_col must be a key."""
-    spans = personal_data(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0)
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with every span in its text column replaced by [KIND]; all other columns stay.
+
+    Spans meet their texts by the text's hash, so ids may be null or repeated; a null text stays null.
+    """
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
+    found = personal_data(hashed, "_hash", text_col).select(F.col("doc_id").alias("_key"), F.concat("base", "added").alias("_spans"))
+    spans = found.where(F.size("_spans") > 0).dropDuplicates(["_key"])
     ranges = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.col(f"`{text_col}`")
@@ -243,5 +248,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.lit(2**31 - 1))),
     )
     rest = [c for c in docs.columns if c != text_col]
-    out = docs.join(spans, F.col(f"`{id_col}`") == F.col("_id"), "left").withColumn("_text", F.when(F.col("_spans").isNull(), text).otherwise(walked))
+    out = hashed.join(spans, F.col("_hash") == F.col("_key"), "left").withColumn("_text", F.when(F.col("_spans").isNull(), text).otherwise(walked))
     return out.select(*[F.col("_text").alias(c) if c not in rest else F.col(f"`{c}`") for c in docs.columns])

@@ -91,6 +91,8 @@ def test_redaction(docs):
                 at = s.end
             t = out + t[at:]
         assert got[i].text == t
+    twice = pii.redact(docs([(None, SAMPLES[0]), (None, SAMPLES[3]), (7, SAMPLES[3]), (7, SAMPLES[3]), (None, None)])).collect()
+    assert len(twice) == 5 and not any(r.text and ("jo.e" in r.text or "555" in r.text) for r in twice)
     assert got[0].key == 1 and "EMAIL" in got[0].text and "10.20" not in got[5].text
 
 

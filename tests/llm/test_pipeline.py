@@ -23,3 +23,17 @@ def test_stages_take_effect(spark, sf_dir):
     assert not any("@mail" in r.text for r in frames[4].collect())
     last = corpus_pipeline.run(spark, sf_dir)
     assert last.count() == n[4]
+
+
+def test_null_and_repeated_rows_go_through(spark, sf_dir, docs):
+    rows = [(None, None), (None, "call +1 (456) 555-2186 now please and then"), (3, ""), (3, ""), (4, "one two three four five six"), (5, "one two three four five six"), (4, "one two three four five six")]
+    stage = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = corpus_pipeline.materialize(f(spark, stage, sf_dir), "t")
+    assert sorted(str(r.doc_id) for r in stage.collect()) == ["3", "3", "4", "4", "None", "None"]
+    assert {r.text for r in stage.where("doc_id is null").collect()} == {None, "call [PHONE] now please and then"}
+    assert corpus_pipeline.STAGES[-1][1](spark, stage, sf_dir).count() == 6
+    empty = docs(rows).select(stage.columns).where("false")
+    for _, f in corpus_pipeline.STAGES:
+        empty_out = f(spark, empty, sf_dir)
+        assert empty_out.count() == 0
