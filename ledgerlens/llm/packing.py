@@ -32,10 +32,9 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             with without_collector():
-                sizes = [enc.lengths([t or "" for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *sizes]) + 1)], names=["doc_id", "n_tokens"])
+                sizes = enc.lengths(batch.column(1)) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=["doc_id", "n_tokens"])
 
     return documents_of(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long")
 

@@ -57,20 +57,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
                 files = [fs.open_output_stream(f"{path}/{name}{end}") for end in (".bin", ".idx", ".doc")]
                 files[1].write(np.zeros(1, "<u8").tobytes())
-            texts = batch.column(1).to_pylist()
+            with without_collector():
+                ids, off = enc.encode(batch.column(1))
+            ends = off[1:] + np.arange(1, len(off))
+            flat = np.insert(ids, off[1:], end_id).astype(kind)  # behind each document's ids
+            files[0].write(flat.tobytes())
+            files[1].write((total + ends).astype("<u8").tobytes())
             files[2].write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            for i in range(0, len(texts), 256):
-                with without_collector():
-                    ids = enc.encode([t or "" for t in texts[i : i + 256]])
-                sizes = np.array([len(x) + 1 for x in ids])
-                flat = np.empty(sizes.sum(), kind)
-                ends = np.cumsum(sizes)
-                for x, e in zip(ids, ends, strict=True):
-                    flat[e - 1 - len(x) : e - 1] = x
-                flat[ends - 1] = end_id
-                files[0].write(flat.tobytes())
-                files[1].write((total + ends).astype("<u8").tobytes())
-                total, count = total + int(ends[-1]), count + len(ids)
+            total, count = total + len(flat), count + batch.num_rows
         for f in files:
             f.close()
         if name is not None:

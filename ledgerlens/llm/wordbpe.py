@@ -3,9 +3,10 @@
 The tokenizer's pieces never cross white space, so a text's ids are those of its chunks between
 spaces and line feeds, one after another. A chunk is taken apart further where the tokenizer's own
 rules surely cut it: ASCII punctuation at its end is a piece run of its own, and if all letters are
-of Latin-1 the rest is lower-cased first. What is left is encoded once by each worker and kept (at most
-MOST_CHUNKS chunks, then it starts afresh; that changes no result): by the tokenizer's model alone if it is
-one run of letters, else by the whole tokenizer, many in one string with a separator between them.
+of Latin-1 the rest is lower-cased first. What is left is encoded once by each worker and kept: by
+the tokenizer's model alone if it is one run of letters, else by the whole tokenizer, many in one
+string with a separator between them. Beyond MOST_PARTS parts the worker forgets them and starts
+afresh, which changes no result.
 For a file with other rules than those checked in `_letters_apart` chunks stay whole.
 """
 
@@ -13,12 +14,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MOST_CHUNKS, MOST_LENGTH, SEPARATOR = 500_000, 64, "\x01"
+MOST_PARTS, MOST_LENGTH, SEPARATOR = 600_000, 128, "\x01"
 #: Fixed value: how a tokenizer must cut texts for letter runs and punctuation to be apart.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -61,7 +64,6 @@ class ChunkEncoder:
         return steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": SPLIT} and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"] and c["model"]["type"] == "BPE"
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}  # chunk to the numbers of its two parts
         self.part: dict[str, int] = {}
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
@@ -84,7 +86,7 @@ class ChunkEncoder:
         found: list[list[int] | None] = []
         rest: list[int] = []
         for k, x in enumerate(new):
-            if self.apart and x.isalpha() and max(x) < "\u0100":
+            if self.apart and x.isalpha() and (x.isascii() or max(x) < "\u0100"):
                 if not x.isascii():
                     x = x.encode().decode("latin-1").translate(self.visible)
                 found.append([t.id for t in self.model.tokenize(x)])
@@ -101,53 +103,77 @@ class ChunkEncoder:
         self.sizes = np.concatenate([self.sizes, np.array(list(map(len, found)), np.int64)])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def _learn(self, new: list[str]) -> None:
-        pairs = []
-        for c in new:
-            stem = c.rstrip(string.punctuation) if self.apart else c
-            end = c[len(stem) :]
-            special = any(x in c for x in self.special)
-            if end and (special or not (stem and stem[-1].isalpha())):
-                stem, end = c, ""
-            if self.apart and not special and not stem.islower() and stem and max(stem) < "\u0100":
-                stem = stem.lower()
-            pairs.append((stem, end))
-        if missing := list(dict.fromkeys(x for p in pairs for x in p if x not in self.part)):
-            self._encode_parts(missing)
-        part = self.part
-        self.at.update((c, part[a] << 32 | part[b]) for c, (a, b) in zip(new, pairs, strict=True))
-
-    def chunks(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int] | None]]:
-        """For each text the numbers of its chunks' parts; or, if a chunk is over MOST_LENGTH, all its ids."""
-        if len(self.at) > MOST_CHUNKS:
+    def _taken_apart(self, chunks: pa.Array, special: bool) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """(stems, ends, with_end): each chunk's stem, lower-cased where that is sure to be right, and the ends of those that have one.
+
+        special: whether a special token may be in a chunk; such chunks stay whole.
+        """
+        if not self.apart:
+            return chunks, chunks.slice(0, 0), np.empty(0, np.int64)
+        stems = pc.utf8_rtrim(chunks, string.punctuation)
+        cut = pc.match_substring_regex(stems, r"\pL$")
+        latin = pc.match_substring_regex(chunks, r"^[\x00-\x{FF}]*$")
+        if special:
+            plain = pc.invert(pc.match_substring_regex(chunks, "|".join(map(re.escape, self.special))))
+            cut, latin = pc.and_(cut, plain), pc.and_(latin, plain)
+        stems = pc.if_else(cut, stems, chunks)
+        with_end = np.flatnonzero(pc.not_equal(pc.binary_length(stems), pc.binary_length(chunks)).to_numpy(zero_copy_only=False))
+        ends = pc.struct_field(pc.extract_regex(chunks.take(pa.array(with_end)), rf"(?P<end>[{re.escape(string.punctuation)}]*)$"), [0])
+        return pc.if_else(latin, pc.utf8_lower(stems), stems), ends, with_end
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """The numbers under which the ids of some strings are kept; new ones are encoded."""
+        numbered = parts.dictionary_encode()
+        each = numbered.dictionary.to_pylist()
+        if new := [x for x in each if x not in self.part]:
+            self._encode_parts(new)
+        return np.fromiter(map(self.part.__getitem__, each), np.int64, len(each))[numbered.indices.to_numpy()]
+
+    def _segments(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """(parts, offsets, whole): each text's chunks' parts, two for each, and the ids of texts with a chunk over MOST_LENGTH bytes.
+
+        Arrow splits the texts, numbers their distinct chunks and takes those apart, so that only
+        distinct parts pass through Python.
+        """
+        if len(self.part) > MOST_PARTS:
             self.clear()
-        words, whole = [], []
-        for t in texts:
-            w = t.replace("\n", " ").split(" ")
-            long = max(map(len, w)) > MOST_LENGTH
-            words.append([] if long else w)
-            whole.append(self.plain(t) if long else None)
-        found = [np.fromiter(map(self.at.get, w, repeat(-1)), np.int64, len(w)) for w in words]
-        missing = [np.flatnonzero(f < 0).tolist() for f in found]
-        new = list(dict.fromkeys(w[k] for w, m in zip(words, missing, strict=True) for k in m))
-        if new:
-            self._learn(new)
-            for f, w, m in zip(found, words, missing, strict=True):
-                f[m] = [self.at[w[k]] for k in m]
-        return [np.stack([f >> 32, f & 0xFFFFFFFF], axis=1).reshape(-1) for f in found], whole
-
-    def lengths(self, texts: list[str]) -> np.ndarray:
-        numbers, whole = self.chunks(texts)
-        return np.array([len(x) if x is not None else int(self.sizes[n].sum()) for n, x in zip(numbers, whole, strict=True)], np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        numbers, whole = self.chunks(texts)
-        out = []
-        for n, x in zip(numbers, whole, strict=True):
-            if x is not None:
-                out.append(np.array(x, np.int64))
-                continue
-            size = self.sizes[n]
-            end = np.cumsum(size)
-            out.append(self.ids[np.repeat(self.starts[n] - end + size, size) + np.arange(end[-1] if len(end) else 0)])
+        texts = column.fill_null("") if column.null_count else column
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        numbered = lists.flatten().dictionary_encode()
+        index, chunks = numbered.indices.to_numpy(), numbered.dictionary
+        whole: dict[int, list[int]] = {}
+        long = pc.greater(pc.binary_length(chunks), MOST_LENGTH)
+        if pc.any(long).as_py():
+            rows = np.unique(np.searchsorted(offsets, np.flatnonzero(long.to_numpy(zero_copy_only=False)[index]), side="right") - 1)
+            whole = {r: self.plain(texts[r].as_py()) for r in rows.tolist()}
+            chunks = pc.if_else(long, "", chunks)
+        special = any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special)
+        stems, ends, with_end = self._taken_apart(chunks, special)
+        numbers = self._numbers(pa.concat_arrays([stems, ends, pa.array([""])]))
+        both = np.full((len(chunks), 2), numbers[-1])
+        both[:, 0] = numbers[: len(chunks)]
+        both[with_end, 1] = numbers[len(chunks) : -1]
+        return both[index].reshape(-1), 2 * offsets, whole
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text; null counts as empty."""
+        parts, offsets, whole = self._segments(column)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[parts])])
+        out = ends[offsets[1:]] - ends[offsets[:-1]]
+        for r, ids in whole.items():
+            out[r] = len(ids)
         return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of all texts, one after another."""
+        parts, offsets, whole = self._segments(column)
+        size = self.sizes[parts]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.starts[parts] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        off = np.concatenate([[0], end])[offsets]
+        if whole:
+            each = [np.array(whole[r], np.int64) if r in whole else ids[off[r] : off[r + 1]] for r in range(len(off) - 1)]
+            ids, off = np.concatenate(each), np.concatenate([[0], np.cumsum(list(map(len, each)))])
+        return ids, off

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -21,9 +22,11 @@ def test_chunks_equal_the_library(spark, sf_dir, tokenizer, hard):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + [t or "" for t in hard] + ODD
     e = wordbpe.ChunkEncoder(WORDS)
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for x in e.encode(texts)] == want
-    e.clear()
-    assert e.lengths(texts).tolist() == list(map(len, want))
+    for part in (pa.array([None, *texts]).slice(1), pa.array(texts[:1]), pa.array([], pa.string())):
+        ids, off = e.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == want[: len(part)]
+        e.clear()
+        assert e.lengths(part).tolist() == list(map(len, want[: len(part)]))
 
 
 def test_files_give_back_every_token(docs, hard, tokenizer):
