@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import failures, hybrid, labels, score, split, stats
+from ..operators import failures, hybrid, score, split, stats
 
 
 def evaluate(rules: DataFrame, model: DataFrame | None, truth: DataFrame, all_periods: DataFrame, splits: DataFrame, whole_runs: bool = True) -> DataFrame:
@@ -38,6 +38,3 @@ def build_report(scored: DataFrame, latency: DataFrame, prepared: DataFrame | No
     if prepared is not None:
         out["failure_sample"] = failures.annotate(failures.sample_failures(scored), prepared)
     return out
-
-
-__all__ = ["build_report", "evaluate", "labels", "tables"]
