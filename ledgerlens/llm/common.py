@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -117,6 +117,16 @@ def sliding(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     return f(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
+_memo: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim_memo(owner: str, forget: Callable[[], None]) -> None:
+    """A worker keeps the memo of one operator: another one's is forgotten when an operator claims the place."""
+    if _memo and _memo[0][0] != owner:
+        _memo[0][1]()
+    _memo[:] = [(owner, forget)]
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """For tasks with large memos of strings: these hold no cycles, and the collector would walk them over and over."""

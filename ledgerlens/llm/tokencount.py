@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASE, documents_of, mix, without_collector
+from .common import BASE, claim_memo, documents_of, mix, without_collector
 
 MOST_KNOWN, MOST_LENGTH, ROWS, MARK = 500_000, 64, 20_000, "▁"
 PUNCTUATION = string.punctuation
@@ -142,6 +142,7 @@ class Trie:
 
 
 def trie(path: str) -> Trie:
+    claim_memo("tokencount", _tries.clear)
     if path not in _tries:
         _tries[path] = Trie(path)
     if len(_tries[path].known) > MOST_KNOWN:

@@ -30,13 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, materialize
+from .common import claim_memo, documents_of, materialize
 from .neardup import minhashes, shingle_sets
 
 N_TOXIC, N_ORDINARY = 3000, 6000
 GRAM, LONGEST, LEAST, SUPPORT, CONTRAST, MOST_GRAMS = 5, 24, 6, 0.01, 3.0, 8192
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL, WINDOW, MOST_WINDOWS = 32768, 65536, 19, 8, 64
-STEPS, MARGINS, MOST_KEPT, CUT = (2, 3, 4, 5, 6, 7), (1, 2, 3, 4), 400_000, 0.3
+STEPS, MARGINS, MOST_KEPT, CUT = (2, 3, 4, 5, 6, 7), (1, 2, 3, 4), 300_000, 0.3
 WIDE = "utf-16-le"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -98,6 +98,7 @@ _windows: dict[int, Windows] = {}
 
 
 def windows(model: Model) -> Windows:
+    claim_memo("toxicity", _windows.clear)
     if model.key() not in _windows:
         _windows.clear()
         _windows[model.key()] = Windows(model)

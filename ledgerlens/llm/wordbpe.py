@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_PARTS, MOST_LENGTH, SEPARATOR = 600_000, 128, "\x01"
+from .common import claim_memo
+
+MOST_PARTS, MOST_LENGTH, SEPARATOR = 300_000, 128, "\x01"
 #: Fixed value: how a tokenizer must cut texts for letter runs and punctuation to be apart.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -30,6 +32,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each file and worker process."""
+    claim_memo("wordbpe", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
