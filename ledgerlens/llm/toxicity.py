@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = [max(1, sizes.get(k, 0)) for k in (0, 1)]
     counts = train.select("text", "toxic").mapInArrow(_gram_counts, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / n[1]) - F.log((F.col("ordinary") + 0.5) / n[0])
-    kept = counts.where((F.col("toxic") >= max(LEAST, math.ceil(SUPPORT * n[1]))) & (odds >= CONTRAST)).orderBy(odds.desc(), "gram").limit(MOST_GRAMS)
+    kept = counts.where((F.col("toxic") >= max(2, min(LEAST, n[1] // 10), math.ceil(SUPPORT * n[1]))) & (odds >= CONTRAST)).orderBy(odds.desc(), "gram").limit(MOST_GRAMS)
     good = {r.gram for r in kept.select("gram").collect()}
     cuts = train.select("text", "toxic").mapInArrow(lambda it: _training_windows(it, good), "toxic int, cut binary").collect()
     by_class = [sorted(bytes(r.cut) for r in cuts if r.toxic == k) for k in (0, 1)]
