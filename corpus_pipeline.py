@@ -10,27 +10,28 @@ from ledgerlens.llm.common import materialize, table
 from ledgerlens.llm.queries import WORDS
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rejected ids. Rows of one id go together; a null id is an id like others."""
-    ids = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-
-
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it is fitted on the labels outside the held-out fold."""
-    found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, found.where("predicted = 1"))
+    """Rows whose text the classifier rejects go; it is fitted on the labels outside the held-out fold."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that with the smallest doc_id."""
-    return _without(docs, neardup.near_duplicates(docs).where("not kept"))
+    """One document of each near-duplicate component stays: that with the smallest doc_id, one without an id only if no other is there.
+
+    Every row is compared by its own text, whatever its id. Rows that repeat both the id and the text of
+    the one that stays, stay with it; of rows without an id one stays.
+    """
+    columns = docs.columns
+    docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keys = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", "_row").alias("_id"), F.xxhash64("text").alias("_hash")]
+    found = neardup.near_duplicates(docs, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    least = docs.select("_row", *keys).join(found, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "_id", "_row", "_hash")).alias("k"))
+    return docs.select("*", *keys).join(least.select("k._none", "k._id", "k._hash"), ["_none", "_id", "_hash"], "left_semi").select(columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("is_contaminated"))
+    """Rows whose text holds a benchmark item go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ of which is a pass over the documents, so that its size is bounded whatever the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,25 +126,54 @@ def find(index: Index, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, i
 HITS = "array<struct<item_id:long,start:long,end:long,edits:long>>"
 
 
+def _hits(index: Index, column: pa.Array) -> list[list[dict]]:
+    b, off = text_bytes(column)
+    hits: list[list] = [[] for _ in range(len(column))]
+    for lo, hi in slices(off):
+        for r, i, start, end, edits in find(index, _FOLD[b[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]):
+            hits[lo + r].append({"item_id": index.ids[i], "start": start, "end": end, "edits": edits})
+    return [sorted(h, key=lambda x: (x["item_id"], x["start"])) for h in hits]
+
+
 def matches(docs: DataFrame, items: list[tuple[int, str]], q: int, share: float) -> DataFrame:
-    """(doc_id, row_key, hits) of every row, for a bounded list of items."""
+    """(doc_id, hits) of every row, for a bounded list of items."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value, q, share)
         for batch in batches:
-            b, off = text_bytes(batch.column(1))
-            hits: list[list] = [[] for _ in range(batch.num_rows)]
-            for lo, hi in slices(off):
-                for r, i, start, end, edits in find(index, _FOLD[b[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]):
-                    hits[lo + r].append({"item_id": index.ids[i], "start": start, "end": end, "edits": edits})
-            ordered = [sorted(h, key=lambda x: (x["item_id"], x["start"])) for h in hits]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ordered, kind)], names=["doc_id", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hits(index, batch.column(1)), kind)], names=["doc_id", "hits"])
 
     return docs.mapInArrow(run, f"doc_id long, hits {HITS}")
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """The items that are not empty, in blocks of about BLOCK_BYTES; one block at least."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("item")).where("length(item) > 0")
+    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == k) if n > 1 else items
+        yield [(r.item_id, r.item) for r in part.collect()]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no item. A row is judged by its own text, so ids may be null or repeated."""
+    documents_of(docs, text_col=text_col)  # holds the Arrow batches to BATCH_BYTES
+    out = docs
+    for items in _blocks(benchmark, item_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value, q, share)
+            for batch in batches:
+                yield batch.filter(pa.array([not h for h in _hits(index, batch.column(text_col))], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, is_contaminated, n_items, item_ids, hits) of every row.
 
@@ -154,15 +184,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float
     over BLOCK_BYTES) doc_id must be a key; an empty table on either side finds nothing.
     """
     rows = documents_of(docs, id_col, text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("item")).where("length(item) > 0")
-    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    found = None
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == k) if n > 1 else items
-        one = matches(rows, [(r.item_id, r.item) for r in part.collect()], q, share)
-        found = one if found is None else found.unionByName(one)
-    if n > 1:
+    parts = [matches(rows, items, q, share) for items in _blocks(benchmark, item_col, item_text_col)]
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
         found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     ids = F.array_sort(F.array_distinct("hits.item_id"))
     return found.select("doc_id", (F.size("hits") > 0).alias("is_contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "hits")

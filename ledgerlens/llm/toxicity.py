@@ -227,6 +227,14 @@ def _featured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([at.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
 
 
+def _scores(column: pa.Array, model: Model) -> np.ndarray:
+    if not model.weights:
+        return np.zeros(len(column))
+    at, w = windows(model), np.array(model.weights)
+    x = np.array([at.features(t) for t in column.to_pylist()]).reshape(len(column), len(w))
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row, from its text alone.
 
@@ -235,14 +243,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = (windows(model), np.array(model.weights)) if model.weights else (None, None)
         for batch in batches:
-            if at is None:
-                s = np.zeros(batch.num_rows)
-            else:
-                x = np.array([at.features(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, len(w))
-                s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), model), pa.float64())], names=["doc_id", "score"])
 
     return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -256,3 +258,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels.where(~held_out()))
     out = score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that classify() does not reject. A row is judged by its own text, so ids may be null or repeated."""
+    model = fit(docs, labels.where(~held_out()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(text_col), model) < CUT))
+
+    return docs.mapInArrow(run, docs.schema)

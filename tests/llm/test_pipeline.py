@@ -37,3 +37,25 @@ def test_null_and_repeated_rows_go_through(spark, sf_dir, docs):
     for _, f in corpus_pipeline.STAGES:
         empty_out = f(spark, empty, sf_dir)
         assert empty_out.count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path, docs):
+    item, clean = "which of the seven rivers of the old kingdom ran dry before the great winter began", [f"clean{k} text{k} about{k} nothing{k} much{k} here{k} today{k}" for k in range(5)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["alpha bravo charlie delta echo foxtrot", "golf hotel india juliet kilo lima mike"]
+    rows = [(None, clean[0]), (None, item), (7, clean[1]), (7, f"so {item} then"), (2, names[0]), (None, names[0]), (9, names[0]), (9, clean[2]), (None, names[1]), (None, names[1]), (None, names[1])]
+    out = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, f in corpus_pipeline.STAGES[1:3]:
+        out = corpus_pipeline.materialize(f(spark, out, str(tmp_path)), name)
+    want = [(None, clean[0]), (7, clean[1]), (2, names[0]), (9, clean[2]), (None, names[1])]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_toxic_row_takes_no_other_row_of_its_id_along(spark, tmp_path, docs):
+    bad, good = "vrakzul gnorbith slumfex drabnok", ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima"]
+    text = lambda k: " ".join(good[(k * j + k // 12 + j * j) % 12] + "abcdefgh"[(k + j) % 8] for j in range(1, 40))
+    rows = [(k, text(k) + (f" {bad}" if k % 3 == 0 else "")) for k in range(240)]
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(None, text(1001)), (None, text(1002) + f" {bad}"), (900, text(1003)), (900, text(1004) + f" {bad}")]
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.not_toxic(spark, docs(rows + more), str(tmp_path)).collect()}
+    assert [r in kept for r in more] == [True, False, True, False]
