@@ -3,9 +3,14 @@
 A text region with at most k edits from an item of m bytes shares at least m - q + 1 - k * q of the
 item's q-grams with it, all on k + 1 neighbouring diagonals (place in the text minus place in the
 item). So the shared q-grams are counted in bands of 2(k + 1) diagonals that overlap by half; only
-bands that reach that count are kept, and banded alignment decides. Case, and the kind of white
+bands that reach that count are kept, and banded alignment decides. ASCII case, and the kind of white
 space, do not count. Bytes are compared, so an edit of one non-ASCII letter can count as two.
 
+With regions=True texts and items are folded first (Unicode case; a run of white space is one blank), and
+a part of an item counts like the whole: the lemma is applied to windows of PART bytes of the item, or
+of PART_SHARE of a shorter one, and those that reach the count are aligned, each within its own budget.
+They start an edit budget apart, so that every verbatim passage of that length lies near one of them.
+
 The index of the benchmark goes to every task. It is taken in blocks of BLOCK_BYTES item bytes, each
 of which is a pass over the documents, so that its size is bounded whatever the benchmark.
 """
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import BASE, LOWER, documents_of, gram_hashes, slices, text_bytes
 
 Q, EDIT_SHARE, BLOCK_BYTES = 12, 0.07, 16 << 20
+#: Bytes of a part of an item, or the share of it if that is less.
+PART, PART_SHARE = 200, 0.8
 _FOLD = LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 32
 _FILTER_BITS = 24
@@ -33,15 +40,46 @@ def edit_budget(m: int, q: int, share: float) -> int:
     return max(0, min(int(m * share), (m - q) // q))
 
 
+def folded(t: str | None) -> str:
+    return " ".join((t or "").casefold().split())
+
+
+def unfolded(t: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges of folded(t) as byte ranges of t."""
+    starts, ends, at, blank = [], [], 0, None
+    for c in t:
+        n = len(c.encode())
+        if not c.isspace():
+            if blank and starts:
+                starts.append(blank[0])
+                ends.append(blank[1])
+            blank, f = None, len(c.casefold().encode())
+            starts += [at] * f
+            ends += [at + n] * f
+        else:
+            blank = (blank[0] if blank else at, at + n)
+        at += n
+    return [(starts[a], ends[e - 1]) for a, e in spans]
+
+
+def part_of(m: int, q: int) -> int:
+    """The length of the parts that count of an item of m bytes; very short items count only as a whole."""
+    part = min(PART, int(m * PART_SHARE))
+    return part if part >= 2 * q else m
+
+
 class Index:
     """The q-grams of some items, sorted, with the places where they stand, and a bit table that most other q-grams miss."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, share: float):
-        self.q = q
+    def __init__(self, items: list[tuple[int, str]], q: int, share: float, regions: bool = False):
+        self.q, self.regions = q, regions
         self.ids = [i for i, _ in items]
-        self.text = [_FOLD[np.frombuffer(t.encode(), np.uint8)] for _, t in items]
+        self.text = [_FOLD[np.frombuffer((folded(t) if regions else t).encode(), np.uint8)] for _, t in items]
         self.budget = np.array([edit_budget(len(t), q, share) for t in self.text], np.int64)
         self.need = np.array([len(t) - q + 1 - k * q for t, k in zip(self.text, self.budget, strict=True)], np.int64)
+        self.part = np.array([part_of(len(t), q) if regions else len(t) for t in self.text], np.int64)
+        self.part_budget = np.array([edit_budget(m, q, share) for m in self.part.tolist()], np.int64)
+        self.part_need = self.part - q + 1 - self.part_budget * q
         long = [k for k, t in enumerate(self.text) if len(t) >= q]
         self.short = [(k, self.text[k].tobytes()) for k in range(len(items)) if 0 < len(self.text[k]) < q]
         grams = [gram_hashes(self.text[k], q) for k in long]
@@ -86,6 +124,29 @@ def banded_distance(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tup
     return int(row[k]), m + int(j[k])
 
 
+def banded_parts(item: np.ndarray, starts: np.ndarray, part: int, text: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best alignment of each part of the item, as banded_distance()."""
+    width, n = hi - lo + 1, max(1, len(text))
+    far = part + width + 1
+    j = starts[:, None] + lo + np.arange(width)[None, :]
+    row = np.where((j >= 0) & (j <= len(text)), 0, far)
+    rank, edge = np.arange(width)[None, :], np.full((len(starts), 1), far)
+    for i in range(part):
+        p = i + j
+        step = row + np.where((p >= 0) & (p < len(text)), text[np.clip(p, 0, n - 1)] != item[starts + i][:, None], far)
+        row = np.minimum(step, np.concatenate([row[:, 1:], edge], axis=1) + 1)
+        row = np.minimum.accumulate(row - rank, axis=1) + rank
+        row = np.where((p + 1 >= 0) & (p + 1 <= len(text)), row, far)
+    k = row.argmin(1)
+    at = np.arange(len(starts))
+    return row[at, k], part + j[at, k]
+
+
+def part_starts(m: int, part: int, budget: int) -> np.ndarray:
+    """Where the parts of an item start: an edit budget apart, and the last at its end."""
+    return np.unique(np.append(np.arange(0, m - part + 1, max(1, budget)), m - part))
+
+
 def find(index: Index, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item number, start, end, edits) of the items found in each of some folded texts; the best place of each item."""
     at, item, place = index.shared(b)
@@ -96,7 +157,7 @@ def find(index: Index, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, i
     at, item, place, row = at[inside], item[inside], place[inside], row[inside]
     diagonal = at - off[row] - place
     half = index.budget[item] + 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     low = diagonal // half
     key = [np.concatenate([x, x]) for x in (row, item)] + [np.concatenate([low, low - 1]), np.concatenate([place, place])]
     order = np.lexsort(key[::-1])
@@ -107,14 +168,35 @@ def find(index: Index, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, i
         new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in key[:3]], axis=0)])
         starts = np.flatnonzero(new)
         counts = np.diff(np.append(starts, len(new)))
-        for s in starts[counts >= index.need[key[1][starts]]]:
+        enough = counts >= index.need[key[1][starts]]
+        if index.regions:  # a part has enough if so many places that follow each other lie in one
+            group, need = np.cumsum(new) - 1, index.part_need[key[1]]
+            last = np.arange(len(new)) + need - 1
+            on = last < len(new)
+            last = np.minimum(last, len(new) - 1)
+            on &= (group[last] == group) & (key[3][last] - key[3] <= index.part[key[1]] - index.q)
+            enough[group[on]] = True
+        for g in np.flatnonzero(enough):
+            s = starts[g]
             r, i, band = int(key[0][s]), int(key[1][s]), int(key[2][s])
             k = int(index.budget[i])
+            m, w = len(index.text[i]), int(index.part[i])
             lo, hi = band * (k + 1) - k, (band + 2) * (k + 1) - 1 + k
-            edits, end = banded_distance(index.text[i], b[off[r] : off[r + 1]], lo, hi)
-            if edits <= k and (edits, end) < best.get((r, i), (k + 1, 0))[:2]:
-                best[r, i] = (edits, end, 0)
-    out = [(r, i, max(0, end - len(index.text[i])), end, edits) for (r, i), (edits, end, _) in best.items()]
+            held = best.get((r, i), (1, 0, 0, 0))
+            if counts[g] >= index.need[i]:
+                edits, end = banded_distance(index.text[i], b[off[r] : off[r + 1]], lo, hi)
+                if edits <= k:
+                    held = min(held, (0, edits, end, m)) if (r, i) in best else (0, edits, end, m)
+                    best[r, i] = held
+            if w < m and ((r, i) not in best or held[0]):  # the whole item goes before its parts
+                places, at = key[3][s : s + counts[g]], part_starts(m, w, int(index.part_budget[i]))
+                at = at[np.searchsorted(places, at + w - index.q, side="right") - np.searchsorted(places, at) >= index.part_need[i]]
+                if len(at):
+                    edits, end = banded_parts(index.text[i], at, w, b[off[r] : off[r + 1]], lo, hi)
+                    one = min(zip(edits.tolist(), end.tolist(), strict=True))
+                    if one[0] <= index.part_budget[i]:
+                        best[r, i] = min(held, (1, *one, w)) if (r, i) in best else (1, *one, w)
+    out = [(r, i, max(0, end - n), end, edits) for (r, i), (_, edits, end, n) in best.items()]
     for i, needle in index.short:
         for r in range(len(off) - 1):
             p = b[off[r] : off[r + 1]].tobytes().find(needle)
@@ -127,21 +209,26 @@ HITS = "array<struct<item_id:long,start:long,end:long,edits:long>>"
 
 
 def _hits(index: Index, column: pa.Array) -> list[list[dict]]:
-    b, off = text_bytes(column)
+    texts = column.to_pylist() if index.regions else []
+    b, off = text_bytes(pa.array(map(folded, texts), pa.large_string()) if index.regions else column)
     hits: list[list] = [[] for _ in range(len(column))]
     for lo, hi in slices(off):
         for r, i, start, end, edits in find(index, _FOLD[b[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo]):
             hits[lo + r].append({"item_id": index.ids[i], "start": start, "end": end, "edits": edits})
+    for t, h in zip(texts, hits, strict=False):
+        if h:
+            for x, (a, e) in zip(h, unfolded(t, [(x["start"], x["end"]) for x in h]), strict=True):
+                x["start"], x["end"] = a, e
     return [sorted(h, key=lambda x: (x["item_id"], x["start"])) for h in hits]
 
 
-def matches(docs: DataFrame, items: list[tuple[int, str]], q: int, share: float) -> DataFrame:
+def matches(docs: DataFrame, items: list[tuple[int, str]], q: int, share: float, regions: bool = False) -> DataFrame:
     """(doc_id, hits) of every row, for a bounded list of items."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, q, share)
+        index = Index(held.value, q, share, regions)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hits(index, batch.column(1)), kind)], names=["doc_id", "hits"])
 
@@ -158,15 +245,15 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
         yield [(r.item_id, r.item) for r in part.collect()]
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no item. A row is judged by its own text, so ids may be null or repeated."""
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", regions: bool = True) -> DataFrame:
+    """The rows of `docs` that hold no item, and by default no part of one. A row is judged by its own text, so ids may be null or repeated."""
     documents_of(docs, text_col=text_col)  # holds the Arrow batches to BATCH_BYTES
     out = docs
     for items in _blocks(benchmark, item_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, q, share)
+            index = Index(held.value, q, share, regions)
             for batch in batches:
                 yield batch.filter(pa.array([not h for h in _hits(index, batch.column(text_col))], pa.bool_()))
 
@@ -174,17 +261,18 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, shar
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", regions: bool = False) -> DataFrame:
     """(doc_id, is_contaminated, n_items, item_ids, hits) of every row.
 
     hits has for each item found the byte range of its best place (the start is the end less the item's
-    length) and its edits. Defined cases: null or empty texts hold nothing, null or empty items are in
+    length) and its edits; with regions=True, parts of items count too, and the range is that of the
+    whole item, or else of its best part, in the text as it came. Defined cases: null or empty texts hold nothing, null or empty items are in
     nothing; items shorter than q bytes count where they stand unchanged; a repeated item_id counts
     once in item_ids; repeated rows each get their result; with several blocks of items (a benchmark
     over BLOCK_BYTES) doc_id must be a key; an empty table on either side finds nothing.
     """
     rows = documents_of(docs, id_col, text_col)
-    parts = [matches(rows, items, q, share) for items in _blocks(benchmark, item_col, item_text_col)]
+    parts = [matches(rows, items, q, share, regions) for items in _blocks(benchmark, item_col, item_text_col)]
     found = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))

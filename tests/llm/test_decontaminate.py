@@ -82,3 +82,38 @@ def test_driver_tables_hold_whole_items(spark, sf_dir):
     got = {r.doc_id: set(r.item_ids) for r in d.contaminated(docs, benchmark).collect()}
     for r in docs.collect():
         assert {i for i, t in items if t in r.text} <= got[r.doc_id]
+
+
+def test_query_finds_parts_case_and_blanks(spark, tmp_path, docs, words):
+    from ledgerlens.llm.queries import QUERIES
+
+    rng, text = words
+    items = [text(n) for n in (16, 45, 300)]
+    short, middle, long = items
+    cut = lambda t, a, e: t.encode()[a:e].decode(errors="ignore")
+    around = [text(30), text(20)]
+    held = [(1, cut(middle, 20, 232)), (2, cut(long, len(long) // 2, 9999)), (2, cut(long, 307, 510)), (0, cut(short, 0, len(short.encode()) * 17 // 20)), (2, edited(rng, cut(long, 100, 400), 6)), (1, middle.upper()), (0, short.upper()), (1, middle.replace(" ", " \n ")), (2, long.replace(" ", "\u00a0  "))]
+    texts = [f"{around[0]} {t} {around[1]}" for _, t in held] + [text(200), f"{around[0]} {cut(long, 500, 600)} {around[1]}", None, " "]
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_decontamination"](spark, str(tmp_path)).collect()}
+    assert [got[k].item_ids for k in range(len(texts))] == [[i] for i, _ in held] + [[]] * 4
+
+
+def test_parts_against_brute_force(words):
+    rng, text = words
+    item = d.folded(text(50))
+    index = d.Index([(0, item)], d.Q, d.EDIT_SHARE, True)
+    m, w, k = len(index.text[0]), int(index.part[0]), int(index.part_budget[0])
+    for _ in range(12):
+        a = rng.randrange(m - w)
+        t = fold(d.folded(text(8) + edited(rng, item[a // 2 : a // 2 + 190], rng.randrange(k + 6)) + text(8)))
+        want = best(index.text[0].tolist(), t.tolist()) <= index.budget[0] or any(best(index.text[0][s : s + w].tolist(), t.tolist()) <= k for s in d.part_starts(m, w, k))
+        assert bool(d.find(index, t, np.array([0, len(t)]))) == want
+
+
+def test_ranges_are_those_of_the_text_as_it_came():
+    t = "  Ein  \u00c9t\u00c9 \u1e9e\n"
+    assert d.folded(t) == "ein \u00e9t\u00e9 ss"
+    whole = d.folded(t).encode()
+    assert d.unfolded(t, [(0, 3), (4, whole.index(b" ss"))]) == [(2, 5), (7, 12)]
