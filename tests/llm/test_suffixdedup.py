@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import suffixdedup
@@ -29,9 +30,11 @@ def found(df, **k):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.substring_dedup(df, **k).collect()}
 
 
-@pytest.mark.parametrize("piece", [1 << 15, 4])
-def test_against_brute_force(docs, hard, monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "hot"), [(1 << 15, 1 << 14), (64, 8), (4, 0)])
+def test_against_brute_force(docs, hard, monkeypatch, piece, hot):
+    """Also with so small limits that most buckets are hot and fill several pieces."""
     monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
     passages = [" ".join(word() for _ in range(rng.randrange(6, 40))) for _ in range(12)]
@@ -56,6 +59,46 @@ def test_other_lengths(docs):
     assert found(docs(rows), length=16, q=6) == brute(rows, 16)
 
 
+@pytest.mark.parametrize(("length", "q"), [(7, 3), (16, 16), (50, 9), (100, 20), (333, 20)])
+def test_any_length(docs, length, q):
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = [passage[rng.randrange(300) : rng.randrange(400, 900)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(30))) + passage[rng.randrange(800) :] for _ in range(25)]
+    rows = list(enumerate(texts))
+    assert found(docs(rows), length=length, q=q) == brute(rows, length)
+
+
+def refined_directly(rows, length, piece, monkeypatch):
+    """rows: (key, doc, bytes), one string each, in sorted order; the documents that lose it."""
+    monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    t = pa.Table.from_pylist([{"key": k, "doc": d, "block": 0, "r": d, "at": 0, "bytes": b} for k, d, b in rows], schema=suffixdedup.CONTEXTS)
+    return sorted(r for batch in suffixdedup._refined(iter(t.to_batches(max_chunksize=97)), length) for r in batch.column("r").to_pylist())
+
+
+def test_a_bucket_larger_than_a_piece(monkeypatch):
+    one, other = b"the same passage of many documents, over and over.", b"another one with the same bucket number as the one"
+    rows = [(1, 0, one)] + [(5, d, other if d % 7 == 3 else one) for d in range(1000)] + [(6, 2000, other[::-1])]
+    want = [d for d in range(1000) if d not in (0, 3)]
+    for piece in (100_000, 256, 31):
+        assert refined_directly(rows, 50, piece, monkeypatch) == want
+
+
+def test_hot_buckets_are_split(spark, docs, monkeypatch):
+    """A passage that all documents share, and its different surroundings: no key keeps more rows than there are blocks."""
+    monkeypatch.setattr(suffixdedup, "HOT", 50)
+    rng = random.Random(3)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20))
+    word = lambda: "".join(rng.choice("pqrstuv") for _ in range(6))
+    rows = [(i, f"{word()} {word()} {word()} {passage} {word()} {word()}") for i in range(1500)]
+    assert found(docs(rows)) == brute(rows)
+    seen = []
+    monkeypatch.setattr(type(docs(rows)), "sortWithinPartitions", lambda self, *k, f=type(docs(rows)).sortWithinPartitions: (seen.append(self), f(self, *k))[1])
+    suffixdedup.substring_dedup(docs(rows))
+    contexts = next(x for x in seen if "key" in x.columns)
+    largest = contexts.where("bytes is not null").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert largest <= max(50, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def test_nulls_repeats_and_no_rows(docs):
     long = "the quick brown fox jumps over the lazy dog and runs away " * 2
     df = docs([(None, long), (1, long), (1, long + "tail"), (2, "head " + long), (2, None)])
