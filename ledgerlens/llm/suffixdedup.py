@@ -37,8 +37,8 @@ from .common import BASE, documents_of, gram_hashes, mix, slices, sliding, text_
 LENGTH, Q = 50, 20
 #: Suffixes of a bucket beyond which it is refined in the blocks first; the result is the same either way.
 HOT = 1 << 14
-#: Contexts that are refined at once, and bytes of text in a block.
-PIECE, BLOCK_BYTES = 1 << 15, 4 << 20
+#: Contexts that are refined at once, those of one bucket at most, and bytes of text in a block.
+PIECE, LARGEST, BLOCK_BYTES = 1 << 12, 1 << 15, 4 << 20
 
 
 def anchors(b: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def _deeper(pointer: np.ndarray, at: np.ndarray, depth: int, length: int, room:
     if not step or not len(at):
         return at
     key = (pointer[at] << 32) | pointer[at + step]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at, key = at[order], key[order]
     starts, sizes = _runs(key)
     bucket = key >> 32
@@ -123,7 +123,7 @@ def refine(b: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int, alike
     for k in range(depth):
         gram = (gram << np.uint64(8)) | padded[k : k + n]
     at = np.flatnonzero(room >= depth)
-    at = at[np.argsort(gram[at], kind="stable")]
+    at = at[np.argsort(gram[at])]
     starts, counts = _runs(gram[at])
     pointer = np.zeros(n, np.int64)
     pointer[at] = np.repeat(starts, counts)
@@ -283,8 +283,8 @@ def _strings(block: Block, key: np.ndarray, r: np.ndarray, at: np.ndarray, sizes
     without bytes, as the ranges (r, at, e) that go.
     """
     begin, order = np.cumsum(sizes) - sizes, np.argsort(key, kind="stable")
-    for lo in range(0, len(order), PIECE):
-        k = order[lo : lo + PIECE]
+    for lo in range(0, len(order), 2 * PIECE):
+        k = order[lo : lo + 2 * PIECE]
         b, stop = _pack(flat, begin[k], sizes[k])
         context = np.repeat(np.arange(len(k)), sizes[k])
         place = at[k][context] + np.arange(len(b)) - (stop - sizes[k])[context]
@@ -312,17 +312,13 @@ def _strings(block: Block, key: np.ndarray, r: np.ndarray, at: np.ndarray, sizes
         yield _table(CONTEXTS, ends, doc[c], np.full(len(reps), block.number), row[c], place[reps], _binary(_pack(b, reps, np.full(len(reps), length))[0], np.arange(1, len(reps) + 1) * length), pa.array(also, pa.binary()), pa.nulls(len(reps), pa.int64()))
 
 
-SPANS = "block long, r long, a long, e long"
-
-
-def _spans(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "r", "a", "e"])
+SPANS = ["block", "r", "a", "e", "also"]
 
 
 def _refined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(block, r, a, e): byte ranges that go, from the contexts sorted by (key, doc); whole buckets at once, in pieces of a bounded size.
+    """(block, r, a, e, also): byte ranges that go, from the contexts sorted by (key, doc); whole buckets at once, in pieces of a bounded size.
 
-    Only the strings of a hot bucket can fill a piece with one key. They come by document, so the
+    A range that is one string goes at the places in `also`, too. Only the strings of a hot bucket can fill LARGEST rows with one key. They come by document, so the
     earliest document of each is in the first piece that holds it, and is kept for the next ones.
     """
     held: list[pa.Table] = []
@@ -330,13 +326,16 @@ def _refined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     last = None
     for batch in batches:
         done = batch.filter(pc.is_valid(batch.column("e")))
-        yield _spans(*(done.column(k).to_numpy() for k in ("block", "r", "at", "e")))
+        yield pa.RecordBatch.from_arrays([done.column(k) for k in ("block", "r", "at", "e", "also")], names=SPANS)
         held.append(pa.Table.from_batches([batch.filter(pc.is_null(batch.column("e")))]))
-        if sum(t.num_rows for t in held) < PIECE:
+        n = sum(t.num_rows for t in held)
+        if n < PIECE:
             continue
         t = pa.concat_tables(held)
         starts, _ = _runs(t.column("key").to_numpy())
-        cut = int(starts[-1]) or t.num_rows
+        if len(starts) == 1 and n < LARGEST:
+            continue
+        cut = int(starts[-1]) or n
         if t.column("key")[0].as_py() != last:
             earliest.clear()
         last = t.column("key")[0].as_py() if len(starts) == 1 else None
@@ -366,13 +365,8 @@ def _gone(t: pa.Table, length: int, earliest: dict[bytes, int] | None) -> pa.Rec
         gone = np.union1d(gone, np.array(more, np.int64))
     c = context[gone]
     span, a, e = _merged(c, at[c] + gone - off[c], length)
-    out = [np.stack([block[span], r[span], a, e])]
-    also = t.column("also").to_pylist()
-    for c in np.unique(c).tolist():
-        if also[c] is not None:
-            rows, places = np.frombuffer(also[c], np.int64).reshape(2, -1)
-            out.append(np.stack([np.full(len(rows), block[c]), rows, places, places + length]))
-    return _spans(*np.concatenate(out, axis=1))
+    also = t.column("also").take(pa.array(span))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block[span], r[span], a, e)] + [also.combine_chunks()], names=SPANS)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -381,8 +375,11 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 def _cut(rows: pa.Table, more: pa.Table, length: int) -> pa.Table:
     block, said = Block(rows, more), more.filter(pc.is_valid(more.column("r")))
     spans: dict[int, list[tuple[int, int]]] = {}
-    for r, a, e in zip(*(said.column(k).to_pylist() for k in ("r", "a", "e")), strict=True):
+    for r, a, e, also in zip(*(said.column(k).to_pylist() for k in SPANS[1:]), strict=True):
         spans.setdefault(r, []).append((a, e))
+        if also is not None:
+            for other, place in zip(*np.frombuffer(also, np.int64).reshape(2, -1).tolist(), strict=True):
+                spans.setdefault(other, []).append((place, place + length))
     out = []
     for r, text in enumerate(block.texts):
         s = sorted(spans.get(r, ()))
@@ -438,7 +435,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text
     buckets = by_block(copies, lambda a, b: _buckets(a, b, *n), "h long, block long, n long")
     shared = buckets.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _shared(it, hot), "block long, h long, hot boolean")
     contexts = by_block(shared.unionByName(copies, allowMissingColumns=True), lambda a, b: _contexts(a, b, *n), "key long, doc long, block long, r long, at long, bytes binary, also binary, e long")
-    spans = contexts.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(lambda it: _refined(it, length), SPANS)
+    spans = contexts.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(lambda it: _refined(it, length), "block long, r long, a long, e long, also binary")
     kept = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ", kept binary")
     columns = [c.split()[0] for c in kept[0].split(", ")] + ["kept"] * with_text
     out = by_block(spans.unionByName(copies, allowMissingColumns=True), lambda a, b: _cut(a, b, length).select(columns), kept[0] + kept[1] * with_text)

@@ -34,6 +34,7 @@ def found(df, **k):
 def test_against_brute_force(docs, hard, monkeypatch, piece, hot):
     """Also with so small limits that most buckets are hot and fill several pieces."""
     monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    monkeypatch.setattr(suffixdedup, "LARGEST", piece)
     monkeypatch.setattr(suffixdedup, "HOT", hot)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
@@ -71,6 +72,7 @@ def test_any_length(docs, length, q):
 def refined_directly(rows, length, piece, monkeypatch):
     """rows: (key, doc, bytes), one string each, in sorted order; the documents that lose it."""
     monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    monkeypatch.setattr(suffixdedup, "LARGEST", 2 * piece)
     t = pa.Table.from_pylist([{"key": k, "doc": d, "block": 0, "r": d, "at": 0, "bytes": b} for k, d, b in rows], schema=suffixdedup.CONTEXTS)
     return sorted(r for batch in suffixdedup._refined(iter(t.to_batches(max_chunksize=97)), length) for r in batch.column("r").to_pylist())
 
