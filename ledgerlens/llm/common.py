@@ -91,7 +91,7 @@ def gram_hashes(b: np.ndarray, q: int) -> np.ndarray:
     if len(b) < q:
         return np.empty(0, np.uint64)
     h, size, out, done = BYTES[b], 1, None, 0
-    power = BASE
+    power = np.array([BASE])
     while True:
         if q & size:
             if out is None:

@@ -17,8 +17,7 @@ of which is a pass over the documents, so that its size is bounded whatever the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ PART, PART_SHARE = 200, 0.8
 _FOLD = LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 32
 _FILTER_BITS = 24
+#: Shared places that are counted, and cells of alignments that are filled, at once.
+PAIRS, CELLS = 1 << 20, 1 << 18
 
 
 def edit_budget(m: int, q: int, share: float) -> int:
@@ -72,7 +73,7 @@ class Index:
     """The q-grams of some items, sorted, with the places where they stand, and a bit table that most other q-grams miss."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, share: float, regions: bool = False):
-        self.q, self.regions = q, regions
+        self.items, self.q, self.share, self.regions, self._halves = items, q, share, regions, None
         self.ids = [i for i, _ in items]
         self.text = [_FOLD[np.frombuffer((folded(t) if regions else t).encode(), np.uint8)] for _, t in items]
         self.budget = np.array([edit_budget(len(t), q, share) for t in self.text], np.int64)
@@ -92,110 +93,72 @@ class Index:
         self.table = np.zeros(1 << _FILTER_BITS, bool)
         self.table[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def shared(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in b, item, place in the item) of every shared q-gram."""
+    def hits(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in b, number of the q-gram) of every shared q-gram."""
         h = gram_hashes(b, self.q)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _FILTER_BITS)]) if len(self.grams) else np.empty(0, np.int64)
         k = np.searchsorted(self.grams, h[at]) if len(at) else at
         on = self.grams[np.minimum(k, len(self.grams) - 1)] == h[at] if len(at) else np.zeros(0, bool)
-        at, k = at[on], k[on]
+        return at[on], k[on]
+
+    def places(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of k, item, place in the item) of every place where these q-grams stand."""
         n = self.counts[k]
         stop = np.cumsum(n)
         j = np.repeat(self.starts[k] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)
-        return np.repeat(at, n), self.item[j], self.place[j]
-
+        return np.repeat(np.arange(len(k)), n), self.item[j], self.place[j]
 
-def banded_distance(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
-    """(edits, end) of the best alignment of the whole item with a part of the text, on the diagonals lo..hi."""
-    m, width = len(item), hi - lo + 1
-    far = m + width + 1
-    j = lo + np.arange(width)  # text position reached before any item byte: row i is on positions i + j
-    row = np.where((j >= 0) & (j <= len(text)), 0, far)
-    rank = np.arange(width)
-    for i in range(m):
-        p = i + j
-        inside = (p >= 0) & (p < len(text))
-        step = row + np.where(inside, text[np.clip(p, 0, max(0, len(text) - 1))] != item[i], far)
-        skip = np.append(row[1:], far) + 1  # the item's byte has no counterpart
-        row = np.minimum(step, skip)
-        row = np.minimum.accumulate(row - rank) + rank  # bytes that only the text has
-        row = np.where((p + 1 >= 0) & (p + 1 <= len(text)), row, far)
-    k = int(row.argmin())
-    return int(row[k]), m + int(j[k])
+    def halves(self) -> list[tuple[int, "Index"]]:
+        """(number of the first item, index) of the first and the second half of the items."""
+        if self._halves is None:
+            cut = len(self.items) // 2
+            self._halves = [(0, Index(self.items[:cut], self.q, self.share, self.regions)), (cut, Index(self.items[cut:], self.q, self.share, self.regions))]
+        return self._halves
 
 
-def banded_parts(item: np.ndarray, starts: np.ndarray, part: int, text: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, end) of the best alignment of each part of the item, as banded_distance()."""
-    width, n = hi - lo + 1, max(1, len(text))
+def banded(item: np.ndarray, starts: np.ndarray, part: int, text: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best alignment of each part item[start : start + part] with a piece of the text, on the diagonals lo .. lo + width - 1."""
+    n = max(1, len(text))
     far = part + width + 1
-    j = starts[:, None] + lo + np.arange(width)[None, :]
+    j = (starts + lo)[:, None] + np.arange(width)[None, :]  # text position reached before any byte: byte i is on positions i + j
     row = np.where((j >= 0) & (j <= len(text)), 0, far)
     rank, edge = np.arange(width)[None, :], np.full((len(starts), 1), far)
     for i in range(part):
         p = i + j
         step = row + np.where((p >= 0) & (p < len(text)), text[np.clip(p, 0, n - 1)] != item[starts + i][:, None], far)
-        row = np.minimum(step, np.concatenate([row[:, 1:], edge], axis=1) + 1)
-        row = np.minimum.accumulate(row - rank, axis=1) + rank
+        row = np.minimum(step, np.concatenate([row[:, 1:], edge], axis=1) + 1)  # the item's byte has no counterpart
+        row = np.minimum.accumulate(row - rank, axis=1) + rank  # bytes that only the text has
         row = np.where((p + 1 >= 0) & (p + 1 <= len(text)), row, far)
     k = row.argmin(1)
     at = np.arange(len(starts))
     return row[at, k], part + j[at, k]
 
 
+def banded_distance(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+    """(edits, end) of the best alignment of the whole item with a part of the text, on the diagonals lo..hi."""
+    edits, end = banded(item, np.zeros(1, np.int64), len(item), text, np.array([lo]), hi - lo + 1)
+    return int(edits[0]), int(end[0])
+
+
+def least(item: np.ndarray, starts: np.ndarray, part: int, text: np.ndarray, lo: np.ndarray, width: int) -> tuple[int, int]:
+    """The least (edits, end) of banded(), in pieces of a bounded size."""
+    piece = max(1, CELLS // width)
+    found = [banded(item, starts[a : a + piece], part, text, lo[a : a + piece], width) for a in range(0, len(starts), piece)]
+    return min((int(e), int(x)) for edits, end in found for e, x in zip(edits, end, strict=True))
+
+
 def part_starts(m: int, part: int, budget: int) -> np.ndarray:
     """Where the parts of an item start: an edit budget apart, and the last at its end."""
     return np.unique(np.append(np.arange(0, m - part + 1, max(1, budget)), m - part))
 
 
+Best = dict[tuple[int, int], tuple[int, int, int, int]]
+
+
 def find(index: Index, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item number, start, end, edits) of the items found in each of some folded texts; the best place of each item."""
-    at, item, place = index.shared(b)
-    if not len(at) and not index.short:
-        return []
-    row = np.searchsorted(off, at, side="right") - 1
-    inside = at + index.q <= off[row + 1] if len(at) else np.zeros(0, bool)
-    at, item, place, row = at[inside], item[inside], place[inside], row[inside]
-    diagonal = at - off[row] - place
-    half = index.budget[item] + 1
-    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    low = diagonal // half
-    key = [np.concatenate([x, x]) for x in (row, item)] + [np.concatenate([low, low - 1]), np.concatenate([place, place])]
-    order = np.lexsort(key[::-1])
-    key = [x[order] for x in key]
-    if len(order):
-        same = np.all([x[1:] == x[:-1] for x in key], axis=0)
-        key = [x[np.concatenate([[True], ~same])] for x in key]  # a place of the item counts once in a band
-        new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in key[:3]], axis=0)])
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, len(new)))
-        enough = counts >= index.need[key[1][starts]]
-        if index.regions:  # a part has enough if so many places that follow each other lie in one
-            group, need = np.cumsum(new) - 1, index.part_need[key[1]]
-            last = np.arange(len(new)) + need - 1
-            on = last < len(new)
-            last = np.minimum(last, len(new) - 1)
-            on &= (group[last] == group) & (key[3][last] - key[3] <= index.part[key[1]] - index.q)
-            enough[group[on]] = True
-        for g in np.flatnonzero(enough):
-            s = starts[g]
-            r, i, band = int(key[0][s]), int(key[1][s]), int(key[2][s])
-            k = int(index.budget[i])
-            m, w = len(index.text[i]), int(index.part[i])
-            lo, hi = band * (k + 1) - k, (band + 2) * (k + 1) - 1 + k
-            held = best.get((r, i), (1, 0, 0, 0))
-            if counts[g] >= index.need[i]:
-                edits, end = banded_distance(index.text[i], b[off[r] : off[r + 1]], lo, hi)
-                if edits <= k:
-                    held = min(held, (0, edits, end, m)) if (r, i) in best else (0, edits, end, m)
-                    best[r, i] = held
-            if w < m and ((r, i) not in best or held[0]):  # the whole item goes before its parts
-                places, at = key[3][s : s + counts[g]], part_starts(m, w, int(index.part_budget[i]))
-                at = at[np.searchsorted(places, at + w - index.q, side="right") - np.searchsorted(places, at) >= index.part_need[i]]
-                if len(at):
-                    edits, end = banded_parts(index.text[i], at, w, b[off[r] : off[r + 1]], lo, hi)
-                    one = min(zip(edits.tolist(), end.tolist(), strict=True))
-                    if one[0] <= index.part_budget[i]:
-                        best[r, i] = min(held, (1, *one, w)) if (r, i) in best else (1, *one, w)
+    best: Best = {}
+    _search(index, 0, b, off, best)
     out = [(r, i, max(0, end - n), end, edits) for (r, i), (_, edits, end, n) in best.items()]
     for i, needle in index.short:
         for r in range(len(off) - 1):
@@ -205,6 +168,87 @@ def find(index: Index, b: np.ndarray, off: np.ndarray) -> list[tuple[int, int, i
     return out
 
 
+def _search(index: Index, first: int, b: np.ndarray, off: np.ndarray, best: Best) -> None:
+    """Find an index's items, numbered from `first`. More than PAIRS shared places at once are taken by halves of
+    the items, then for a single item text by text, then by ranges of diagonals."""
+    at, k = index.hits(b)
+    row = np.searchsorted(off, at, side="right") - 1
+    inside = at + index.q <= off[row + 1] if len(at) else np.zeros(0, bool)
+    at, k, row = at[inside], k[inside], row[inside]
+    if not len(at):
+        return
+    if index.counts[k].sum() > PAIRS and len(index.items) > 1:
+        for n, half in index.halves():
+            _search(half, first + n, b, off, best)
+        return
+    cuts = np.flatnonzero(np.diff(row)) + 1 if index.counts[k].sum() > PAIRS else []
+    for at_, k_, row_ in zip(np.split(at, cuts), np.split(k, cuts), np.split(row, cuts), strict=True):
+        if index.counts[k_].sum() <= PAIRS:
+            which, item, place = index.places(k_)
+            _verify(index, first, b, off, row_[which], item, place, at_[which] - off[row_[which]], None, best)
+            continue
+        size, half = len(index.text[0]), int(index.budget[0]) + 1  # a single item and a single text
+        bands, each = max(1, PAIRS // (int(index.counts.max()) * half)), at_ - off[row_[0]]
+        for low in range(-(size // half) - 2, int(each[-1]) // half + 1, bands):
+            near = slice(*np.searchsorted(each, [low * half, (low + bands + 1) * half + size]))
+            which, item, place = index.places(k_[near])
+            _verify(index, first, b, off, row_[near][which], item, place, each[near][which], (low, low + bands), best)
+
+
+def _verify(index: Index, first: int, b: np.ndarray, off: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarray, at: np.ndarray, bands: tuple[int, int] | None, best: Best) -> None:
+    """Count the shared places of each band of diagonals, and align where they are enough. at: places in the rows' texts."""
+    low = (at - place) // (index.budget[item] + 1)
+    band = np.concatenate([low, low - 1])
+    row, item, place = (np.concatenate([x, x]) for x in (row, item, place))
+    if bands:
+        on = (band >= bands[0]) & (band < bands[1])
+        row, item, band, place = row[on], item[on], band[on], place[on]
+    if not len(row):
+        return
+    base, longest, n_items = int(band.min()), int(place.max()) + 1, int(item.max()) + 1
+    span = int(band.max()) - base + 1
+    pairs, pair = np.unique(row * n_items + item, return_inverse=True)
+    groups, group = np.unique(pair * span + (band - base), return_inverse=True)
+    key = np.unique(group * longest + place)  # a place of the item counts once in a band
+    group, place = key // longest, key % longest
+    starts = np.searchsorted(group, np.arange(len(groups)))
+    counts = np.diff(np.append(starts, len(group)))
+    band, pair = groups % span + base, groups // span
+    row, item = pairs[pair] // n_items, pairs[pair] % n_items
+    whole = counts >= index.need[item]
+    enough = whole.copy()
+    if index.regions:  # a part has enough if so many places that follow each other lie in one
+        own = np.repeat(np.arange(len(starts)), counts)
+        last = np.arange(len(group)) + index.part_need[item[own]] - 1
+        on = last < len(group)
+        last = np.minimum(last, len(group) - 1)
+        on &= (group[last] == group) & (place[last] - place <= index.part[item[own]] - index.q)
+        enough[own[on]] = True
+    chosen = np.flatnonzero(enough)
+    for g in np.split(chosen, np.flatnonzero(np.diff(pair[chosen])) + 1) if len(chosen) else []:
+        r, i = int(row[g[0]]), int(item[g[0]])
+        t, text, k = index.text[i], b[off[r] : off[r + 1]], int(index.budget[i])
+        m, w, lo, width = len(t), int(index.part[i]), band[g] * (k + 1) - k, 4 * k + 2
+        found = [best[r, first + i]] if (r, first + i) in best else []
+        if whole[g].any():
+            edits, end = least(t, np.zeros(int(whole[g].sum()), np.int64), m, text, lo[whole[g]], width)
+            if edits <= k:
+                found.append((0, edits, end, m))
+        if w < m and not (found and min(found)[0] == 0):  # the whole item goes before its parts
+            begin, where = part_starts(m, w, int(index.part_budget[i])), []
+            for x, one in zip(lo, g, strict=True):
+                places = place[starts[one] : starts[one] + counts[one]]
+                s = begin[np.searchsorted(places, begin + w - index.q, side="right") - np.searchsorted(places, begin) >= index.part_need[i]]
+                where.append((s, np.full(len(s), x)))
+            s, x = (np.concatenate(y) for y in zip(*where, strict=True))
+            if len(s):
+                edits, end = least(t, s, w, text, x, width)
+                if edits <= index.part_budget[i]:
+                    found.append((1, edits, end, w))
+        if found:
+            best[r, first + i] = min(found)
+
+
 HITS = "array<struct<item_id:long,start:long,end:long,edits:long>>"
 
 
@@ -222,17 +266,21 @@ def _hits(index: Index, column: pa.Array) -> list[list[dict]]:
     return [sorted(h, key=lambda x: (x["item_id"], x["start"])) for h in hits]
 
 
-def matches(docs: DataFrame, items: list[tuple[int, str]], q: int, share: float, regions: bool = False) -> DataFrame:
-    """(doc_id, hits) of every row, for a bounded list of items."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
+def matches(docs: DataFrame, blocks: Iterable[list[tuple[int, str]]], q: int, share: float, regions: bool = False) -> DataFrame:
+    """(doc_id, text, hits) of every row; one pass for each bounded block of items, all in one stage, so that rows stay apart whatever their ids."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
+    out = docs.select("doc_id", "text", F.array().cast(HITS).alias("hits"))
+    for items in blocks:
+        held = docs.sparkSession.sparkContext.broadcast(items)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, q, share, regions)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hits(index, batch.column(1)), kind)], names=["doc_id", "hits"])
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value, q, share, regions)
+            for batch in batches:
+                hits = [a + b for a, b in zip(batch.column(2).to_pylist(), _hits(index, batch.column(1)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, kind)], names=["doc_id", "text", "hits"])
 
-    return docs.mapInArrow(run, f"doc_id long, hits {HITS}")
+        out = out.mapInArrow(run, f"doc_id long, text string, hits {HITS}")
+    return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -268,13 +316,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float
     length) and its edits; with regions=True, parts of items count too, and the range is that of the
     whole item, or else of its best part, in the text as it came. Defined cases: null or empty texts hold nothing, null or empty items are in
     nothing; items shorter than q bytes count where they stand unchanged; a repeated item_id counts
-    once in item_ids; repeated rows each get their result; with several blocks of items (a benchmark
-    over BLOCK_BYTES) doc_id must be a key; an empty table on either side finds nothing.
+    once in item_ids; rows that repeat a doc_id, or have none, each get their own result; an empty table
+    on either side finds nothing.
     """
     rows = documents_of(docs, id_col, text_col)
-    parts = [matches(rows, items, q, share, regions) for items in _blocks(benchmark, item_col, item_text_col)]
-    found = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    found = matches(rows, _blocks(benchmark, item_col, item_text_col), q, share, regions)
     ids = F.array_sort(F.array_distinct("hits.item_id"))
     return found.select("doc_id", (F.size("hits") > 0).alias("is_contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "hits")

@@ -117,3 +117,46 @@ def test_ranges_are_those_of_the_text_as_it_came():
     assert d.folded(t) == "ein \u00e9t\u00e9 ss"
     whole = d.folded(t).encode()
     assert d.unfolded(t, [(0, 3), (4, whole.index(b" ss"))]) == [(2, 5), (7, 12)]
+
+
+def test_repeated_q_grams_stay_bounded():
+    """A run of one letter in item and text: time and memory grow with the text, not with the pairs of places."""
+    import resource
+    import time
+
+    for item in ("-" * 200, "answer the question " + "-" * 300 + " with one word"):
+        index = d.Index([(1, item), (2, "something else altogether, which is not there")], d.Q, d.EDIT_SHARE, True)
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+        for n in (1_000, 80_000):
+            text = np.frombuffer(b"-" * n, np.uint8)
+            found = d.find(index, text, np.array([0, n]))
+            assert [(r, i) for r, i, *_ in found] == [(0, 0)]
+        assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 300
+        assert time.monotonic() - began < 60
+
+
+def test_items_by_halves_and_bands_give_the_same(docs, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc-") for _ in range(rng.randrange(1, 6)))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(12)] + [(50, "-" * 120)]
+    texts = [" ".join(word() for _ in range(60)) + items[i % 13][1][: 90 + 7 * i] + "-" * (9 * i) for i in range(26)]
+    flat = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    one = sorted(d.find(d.Index(items, 12, 0.07, True), flat, off))
+    assert len(one) > 13
+    for pairs, cells in ((40, 64), (3000, 1 << 18)):
+        monkeypatch.setattr(d, "PAIRS", pairs)
+        monkeypatch.setattr(d, "CELLS", cells)
+        assert sorted(d.find(d.Index(items, 12, 0.07, True), flat, off)) == one
+
+
+def test_rows_stay_apart_with_several_blocks(spark, docs, monkeypatch):
+    item = "which of the seven rivers of the old kingdom ran dry before the great winter began"
+    other = "how many towers did the builders of the northern wall leave without a roof in the end"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    rows = [(None, item), (None, "clean"), (7, f"{item} {other}"), (7, None), (7, other), (7, other)]
+    told = lambda: sorted((str(r.doc_id), r.item_ids) for r in d.contaminated(docs(rows), bench).collect())
+    one = told()
+    assert one == [("7", []), ("7", [1, 2]), ("7", [2]), ("7", [2]), ("None", []), ("None", [1])]
+    monkeypatch.setattr(d, "BLOCK_BYTES", 50)
+    assert told() == one
