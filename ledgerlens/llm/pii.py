@@ -3,14 +3,17 @@
 Base spans come from four strict patterns. Wider patterns propose candidates; the labelers vote on
 each: the strict pattern, gazetteers (top-level domains, calling and area codes, card issuers,
 private address blocks), words around it, and its edges. Votes are counted over all documents by
-kind and vote pattern (at most 4 * 3 ** 4 rows, whatever the corpus); on these counts
+kind, vote pattern and shape (at most 4 * 3 ** 4 * 24 rows, whatever the corpus); on these counts
 expectation-maximisation estimates how reliable each labeler is, and a logistic classifier learns the
-posteriors. Candidates that it accepts, and that touch no base span, are added; base spans stay.
+posteriors from the votes and the span's own shape. Candidates that it accepts, and that touch no base
+span, are added; base spans stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -25,7 +28,8 @@ from .common import documents_of, materialize
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # possessive and behind no digit: the same matches, but no second look at a long run of digits
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -45,9 +49,14 @@ AROUND = {
     "phone": (re.compile(r"phone|call|tel|mobile|fax|anruf|appel|llam", re.I), re.compile(r"isbn|order|serial|invoice|version", re.I)),
 }
 LABELERS = ("strict", "gazetteer", "context", "edges")
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 _ANY = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]")
 
 
+#: Features of the classifier, and the share of all votes that the prior of the labelers' rates is worth.
+WIDTH, PRIOR = len(KINDS) + 2 * len(LABELERS) + 6, 0.25
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -66,11 +75,23 @@ def strict(kind: str, text: str) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of BASE["email"], found from each @ backwards and forwards, so that time grows with the text alone."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before, after = _LOCAL.match(text[done:at][::-1]), _DOMAIN.match(text, at)
+        if before and after:
+            yield at - before.end(), after.end()
+        done = after.end() if before and after else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     for kind in KINDS:
         if {"email": "@", "ip": ".", "card": "", "phone": "+"}[kind] in text:
-            out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if strict(kind, m.group())]
+            found = emails(text) if kind == "email" else ((m.start(), m.end()) for m in BASE[kind].finditer(text) if strict(kind, m.group()))
+            out += [(kind, a, e) for a, e in found]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -98,29 +119,38 @@ def votes(kind: str, text: str, a: int, e: int) -> tuple[int, ...]:
     return first, listed, context, -1 if joined else 1
 
 
+def shape(text: str) -> str:
+    """What the classifier sees of a span besides its votes: a class of its length, how many kinds of separators, whether few different digits."""
+    return f"{sum(len(text) >= n for n in (9, 13, 20))}{min(2, len(set(text) & set(' .-()[]')))}{int(len(set(text) & set('0123456789')) <= 3)}"
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
-    """Wide matches with their votes; those that touch a base span are the base span's own votes only if they are it."""
-    out, seen = [], {s for s in base}
-    spans = [(a, e) for _, a, e in base]
+    """Wide matches with their votes and shape; of those that touch a base span only base spans themselves, which count for the fit."""
+    out, own = [], set(base)
+    covered = sorted((a, e) for _, a, e in base)
+    starts = [a for a, _ in covered]
+    reach = list(itertools.accumulate((e for _, e in covered), max))
     for kind in KINDS:
         for m in WIDE[kind].finditer(text):
-            s = (kind, m.start(), m.end())
-            if s in seen or not any(a < s[2] and s[1] < e for a, e in spans):
-                out.append((*s, "".join("-0+"[v + 1] for v in votes(kind, text, s[1], s[2]))))
+            a, e = m.span()
+            k = bisect.bisect_left(starts, e)
+            if (kind, a, e) in own or not k or reach[k - 1] <= a:
+                out.append((kind, a, e, "".join("-0+"[v + 1] for v in votes(kind, text, a, e)) + shape(m.group())))
     return out
 
 
 def fit_reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) -> tuple[dict[tuple[str, str], float], dict[str, dict[str, float]]]:
     """Posterior of each (kind, vote pattern) and each labeler's accuracy by kind, by expectation-maximisation.
 
-    Each labeler votes +, - or abstains independently given the truth, with its own rates (add-one smoothed).
+    Each labeler votes +, - or abstains independently given the truth, with its own rates. These are
+    smoothed by the prior that a labeler is better than chance, worth PRIOR of the votes, so that classes do not swap.
     """
     posterior, accuracy = {}, {}
     for kind in KINDS:
         rows = [(p, c) for (k, p), c in sorted(counts.items()) if k == kind]
         if not rows:
             continue
-        code = np.array([["-0+".index(x) for x in p] for p, _ in rows])
+        code = np.array([["-0+".index(x) for x in p[: len(LABELERS)]] for p, _ in rows])
         n = np.array([c for _, c in rows], float)
         belief = 1 / (1 + np.exp(-1.5 * (code - 1).sum(1)))  # to begin with, the majority
         for _ in range(rounds):
@@ -128,8 +158,9 @@ def fit_reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) ->
             prior = (yes.sum() + 1) / (n.sum() + 2)
             score = np.full(len(n), math.log(prior / (1 - prior)))
             for k in range(len(LABELERS)):
-                up = np.array([yes[code[:, k] == v].sum() + 1 + 2 * (v == 2) for v in range(3)])
-                down = np.array([no[code[:, k] == v].sum() + 1 + 2 * (v == 0) for v in range(3)])
+                share = PRIOR * n.sum() / 4
+                up = np.array([yes[code[:, k] == v].sum() + 1 + (2 + share) * (v == 2) for v in range(3)])
+                down = np.array([no[code[:, k] == v].sum() + 1 + (2 + share) * (v == 0) for v in range(3)])
                 score += np.log(up / up.sum() / (down / down.sum()))[code[:, k]]
             belief = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         posterior |= {(kind, p): float(b) for (p, _), b in zip(rows, belief, strict=True)}
@@ -140,13 +171,15 @@ def fit_reliabilities(counts: dict[tuple[str, str], int], rounds: int = 100) ->
 
 
 def features(kind: str, pattern: str) -> np.ndarray:
-    """Kind, and each labeler's vote by sign."""
-    return np.array([*(float(kind == k) for k in KINDS), *(float(x == s) for x in pattern for s in "+-")])
+    """Kind, each labeler's vote by sign, and the span's shape."""
+    told, form = pattern[: len(LABELERS)], pattern[len(LABELERS) :] or "   "
+    seen = [float(form[0] == x) for x in "123"] + [float(form[1] == x) for x in "12"] + [float(form[2] == "1")]
+    return np.array([*(float(kind == k) for k in KINDS), *(float(x == s) for x in told for s in "+-"), *seen])
 
 
 def fit_classifier(posterior: dict[tuple[str, str], float], counts: dict[tuple[str, str], int], rounds: int = 500) -> np.ndarray:
     """Weights of a logistic classifier of spans, with the posteriors as soft labels."""
-    width = len(KINDS) + 2 * len(LABELERS)
+    width = WIDTH
     if not posterior:
         return np.zeros(width)
     keys = sorted(posterior)
@@ -166,8 +199,7 @@ def fit_classifier(posterior: dict[tuple[str, str], float], counts: dict[tuple[s
 
 
 def accepts(weights: np.ndarray, kind: str, pattern: str, threshold: float = 0.5) -> bool:
-    """Beyond the classifier's probability, a span needs more labelers for it than against it."""
-    return pattern.count("+") > pattern.count("-") and 1 / (1 + math.exp(-float(features(kind, pattern) @ weights))) >= threshold
+    return 1 / (1 + math.exp(-float(features(kind, pattern) @ weights))) >= threshold
 
 
 SPAN = "struct<kind:string,start:long,end:long"
@@ -190,6 +222,29 @@ def propose(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, base array<{SPAN}>>, wide array<{SPAN},votes:string>>")
 
 
+def fit(found: DataFrame) -> np.ndarray:
+    """The classifier's weights from the candidates' votes, which are counted by kind, vote pattern and shape (a bounded table)."""
+    each = found.select(F.explode("wide").alias("w")).groupBy("w.kind", "w.votes").count()
+    counts = {(r.kind, r.votes): r["count"] for r in each.collect()}
+    return fit_classifier(fit_reliabilities(counts)[0], counts)
+
+
+def added(base: list[tuple[str, int, int]], wide: list[tuple[str, int, int, str]], weights: np.ndarray) -> list[tuple[str, int, int]]:
+    """The accepted candidates that touch neither a base span nor, in order, one another."""
+    good = sorted((a, KINDS.index(k), e) for k, a, e, v in wide if accepts(weights, k, v))
+    covered, out, done, at, reach = sorted((a, e) for _, a, e in base), [], 0, 0, 0
+    for a, rank, e in good:
+        while at < len(covered) and covered[at][0] < e:
+            reach, at = max(reach, covered[at][1]), at + 1
+        if a >= done and a >= reach:
+            out.append((KINDS[rank], a, e))
+            done = e
+    return out
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, added) of every row: the spans as (kind, start, end) in code points, end exclusive, by start, then kind.
 
@@ -197,21 +252,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ones overlap no other; repeated rows each get their result; an empty table gives no rows.
     """
     found = materialize(propose(documents_of(docs, id_col, text_col)), "pii")
-    each = found.select(F.explode("wide").alias("w")).groupBy("w.kind", "w.votes").count()
-    counts = {(r.kind, r.votes): r["count"] for r in each.collect()}
-    posterior, _ = fit_reliabilities(counts)
-    weights = fit_classifier(posterior, counts)
-    good = [f"{k}:{p}" for k, p in sorted(counts) if accepts(weights, k, p)]
-    order = F.transform(F.col("new"), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    accepted = F.filter("wide", lambda s: F.concat_ws(":", s["kind"], s["votes"]).isin(good))
-    apart = F.filter(accepted, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    # of added spans that overlap, the first stays
-    first = F.aggregate(
-        F.array_sort(order),
-        F.expr(f"cast(array() as array<{SPAN}>>)"),
-        lambda acc, s: F.when(F.exists(acc, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    return found.withColumn("new", apart).select("doc_id", "base", first.alias("added"))
+    weights = fit(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("base").to_pylist(), batch.column("wide").to_pylist(), strict=True)
+            more = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in added([tuple(s.values()) for s in b], [tuple(s.values()) for s in w], weights)] for b, w in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(more, pa.list_(_SPAN))], names=["doc_id", "base", "added"])
+
+    return found.mapInArrow(run, f"doc_id long, base array<{SPAN}>>, added array<{SPAN}>>")
 
 
 def joined(spans: F.Column) -> F.Column:
@@ -228,25 +277,34 @@ def digest_columns(spans: DataFrame) -> DataFrame:
     return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span replaced by [KIND]; what overlaps the span before goes with that."""
+    out, at = [], 0
+    for a, e, kind in sorted((a, e, k) for k, a, e in spans):
+        if e > at:
+            out += [text[at:a], f"[{kind.upper()}]"] if a >= at else []
+            at = e
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with every span in its text column replaced by [KIND]; all other columns stay.
 
-    Spans meet their texts by the text's hash, so ids may be null or repeated; a null text stays null.
+    The votes are counted first; then each text is replaced where it stands, so ids may be null or
+    repeated and no column is added or joined; a null text stays null.
     """
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    found = personal_data(hashed, "_hash", text_col).select(F.col("doc_id").alias("_key"), F.concat("base", "added").alias("_spans"))
-    spans = found.where(F.size("_spans") > 0).dropDuplicates(["_key"])
-    ranges = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    text = F.col(f"`{text_col}`")
-    walked = F.aggregate(
-        ranges,
-        start,
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.lit(2**31 - 1))),
-    )
-    rest = [c for c in docs.columns if c != text_col]
-    out = hashed.join(spans, F.col("_hash") == F.col("_key"), "left").withColumn("_text", F.when(F.col("_spans").isNull(), text).otherwise(walked))
-    return out.select(*[F.col("_text").alias(c) if c not in rest else F.col(f"`{c}`") for c in docs.columns])
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    weights = fit(propose(documents_of(texts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index(text_col)
+            out = []
+            for t in batch.column(k).to_pylist():
+                if t and _ANY.search(t):
+                    base = base_spans(t)
+                    t = masked(t, [*base, *added(base, candidates(t, base), weights)])
+                out.append(t)
+            yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
+
+    return docs.mapInArrow(run, docs.schema)

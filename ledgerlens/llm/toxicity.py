@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: on windows of ordinary texts, and on those words of toxic
-texts that hold a contrasting n-gram (one that toxic texts have far oftener than ordinary ones). A
+There are two zstandard dictionaries: one is trained on windows of ordinary texts, one holds those words
+of toxic texts that have a contrasting n-gram (one that toxic texts have far oftener than ordinary ones). A
 window is compressed with the ordinary dictionary, and with the toxic one placed before it; the
 toxic dictionary can then only save bytes by what ordinary text lacks. Every window is one word with
 a fixed run of ordinary text before it, so that frame costs cancel and equal windows are compressed
 once in a worker. Letters are two bytes wide (UTF-16), which doubles what a match saves against what
 it costs, so that short words show. The library's trainer passes over words shorter than its
 segments, so the toxic dictionary is made of those words themselves, the commonest last (nearest).
-With both dictionaries trained by the library, on running text of eight words, half as many toxic
-documents again were missed on small samples (figures in the README), so this form is kept.
+With both dictionaries trained by the library, on running text of eight words, more toxic documents
+were missed (figures in the README), so this form is kept.
 A logistic calibration on other labelled documents turns the savings of a text's windows into a score.
 
 Fitting uses at most N_TOXIC and N_ORDINARY labelled documents, those with the least hash of the

@@ -74,7 +74,7 @@ def test_reliabilities_tell_a_good_labeler_from_a_bad_one():
     counts = {("phone", "+++-"): 400, ("phone", "---+"): 400, ("phone", "++++"): 300, ("phone", "----"): 300}
     _, accuracy = pii.fit_reliabilities(counts)
     assert accuracy["phone"]["strict"] > 0.9 > 0.7 > accuracy["phone"]["edges"]
-    assert pii.fit_reliabilities({}) == ({}, {}) and len(pii.fit_classifier({}, {})) == 12
+    assert pii.fit_reliabilities({}) == ({}, {}) and len(pii.fit_classifier({}, {})) == pii.WIDTH
 
 
 def test_redaction(docs):
@@ -98,3 +98,26 @@ def test_redaction(docs):
 
 def test_no_rows(docs):
     assert pii.digest_columns(pii.personal_data(docs([(1, "x")]).where("false"))).count() == 0
+
+
+def test_long_runs_take_time_in_proportion():
+    """Five million letters or digits with an @ or a dot elsewhere, and many spans in one text."""
+    import time
+
+    began = time.monotonic()
+    n = 5_000_000
+    for text in ("a" * n + " x@y.z", "1" * n + ".2", "a." * (n // 2) + "@", "@a" * (n // 2), "+1" + " " * n, "x@" + "a-" * (n // 2) + ".de"):
+        base = pii.base_spans(text)
+        assert len(base) == (1 if text.endswith((" x@y.z", ".de")) else 0)
+    many = "write a@b.de or 10.0.0.1 now " * 40_000
+    base = pii.base_spans(many)
+    assert len(base) == 80_000
+    assert len(pii.masked(many, [*base, *pii.added(base, pii.candidates(many, base), [0.0] * pii.WIDTH)])) > 0
+    assert time.monotonic() - began < 120
+
+
+def test_columns_of_the_user_stay(docs):
+    df = docs([(1, SAMPLES[0]), (None, None)]).selectExpr("*", "'keep' as _hash", "'too' as _text", "5 as _key", "array(1) as _spans")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert {(r._hash, r._text, r._key, tuple(r._spans)) for r in got.collect()} == {("keep", "too", 5, (1,))}
