@@ -31,7 +31,8 @@ def table_features(tables: DataFrame, dash_as_zero: bool = False) -> DataFrame:
     out = out.withColumn("labels", F.transform("rows", figures.row_label))
     heading = lambda label, k: F.when((label != "") & (F.size(F.get("figures", k)) == 0) & ~label.rlike(CAPTION_LIKE) & ~label.rlike(HEADER_LIKE), label)
     out = out.withColumn("_own", F.transform("labels", heading))
-    carried = F.transform("_own", lambda _, k: F.coalesce(F.try_element_at(F.filter(F.slice("_own", 1, k + 1), lambda x: x.isNotNull()), F.lit(-1)), F.lit("")))
+    none = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
+    carried = F.aggregate("_own", none, lambda s, x: F.struct(F.coalesce(x, s["last"]).alias("last"), F.concat(s["all"], F.array(F.coalesce(x, s["last"]))).alias("all")), lambda s: s["all"])
     return (
         out.withColumn("headings", carried)
         .withColumn("dates", headers.header_dates(F.col("rows")))

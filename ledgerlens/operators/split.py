@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_split(df: DataFrame, key: str, seed: int, n_dev: int, pinned: tuple = ()) -> DataFrame:
-    """(key, split): n_dev groups in dev, pinned ones first and the others by hash; the rest in test.
+def group_split(df: DataFrame, key: str, seed: int, n_dev: int, pinned: tuple = (), order: Column | None = None) -> DataFrame:
+    """(key, split): n_dev groups in dev, pinned ones first and the others by hash (or `order`); the rest in test.
 
     Sorts the distinct keys in one task: for keys of a bounded number such as companies.
     """
-    order = Window.orderBy(F.when(F.col(key).isin(*pinned), 0).otherwise(1) if pinned else F.lit(1), F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.select(key).distinct().withColumn("split", F.when(F.row_number().over(order) <= n_dev, "dev").otherwise("test"))
+    by = F.xxhash64(F.col(key), F.lit(seed)) if order is None else order
+    w = Window.orderBy(F.when(F.col(key).isin(*pinned), 0).otherwise(1) if pinned else F.lit(1), by, key)
+    return df.select(key).distinct().withColumn("split", F.when(F.row_number().over(w) <= n_dev, "dev").otherwise("test"))
 
 
 def attach_split(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
     return df.join(split.select(key, "split"), key, "left")
 
 
-def sample_per_group(df: DataFrame, by: list[str], most: int, seed: int, keys: list[str]) -> DataFrame:
-    """At most `most` rows of each group, those with the least hash of the keys."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+def sample_per_group(df: DataFrame, by: list[str], most: int, seed: int, keys: list[str], order: Column | None = None) -> DataFrame:
+    """At most `most` rows of each group, those with the least hash of the keys (or the least `order`, then keys)."""
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *keys) if order is None else order, *keys)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")

@@ -71,8 +71,13 @@ def outcome_mix(scored: DataFrame) -> DataFrame:
     return counts.select("method", *[(F.col(o) / total).alias(o) for o in OUTCOMES])
 
 
-def digest(df: DataFrame, columns: list[str]) -> str:
-    """One hash of a table's rows, the same for any order and partitioning; only the hashes' sums leave the executors."""
+def digest_parts(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """(by, n, s0 .. s3): rows and the sums of their hashes' parts, the same for any order and partitioning."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
     parts = [F.sum(F.conv(F.substring("_row", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
-    return "-".join(str(x) for x in df.select(row.alias("_row")).agg(F.count("*").alias("n"), *parts).first())
+    return df.select(*by, row.alias("_row")).groupBy(*by).agg(F.count("*").alias("n"), *parts)
+
+
+def digest(df: DataFrame, columns: list[str]) -> str:
+    """One hash of a table's rows; only the hashes' sums leave the executors."""
+    return "-".join(str(x) for x in digest_parts(df, columns).first())

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import captions, figures, headers, scoring
 from ..functions.fields import Field, first_match, matches_any
 from ..operators import hybrid, labels, model, score, split, stats
-from ..operators.score import other_period_values
 from ..sources import html, readers
 from ..streaming import ingest
 
@@ -53,26 +52,37 @@ def key_format(spark, d):
     return t(spark, d, "customer").select(readers.document_key("c_custkey", "c_name").alias("doc_id"), F.substring(F.sha2("c_name", 256), 1, 12).alias("cache_key"))
 
 
-@query("""select o_custkey, order_year, o_orderkey, o_totalprice from (select o_custkey, cast(year(o_orderdate) as int) as order_year, o_orderkey, o_totalprice,
-row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) as k from orders) where k = 1""")
+@query("""select printf('%010d_%s', o_custkey, accession) as doc_id, o_custkey as cik, report_date, filing_date, accession from (select *, row_number() over (partition by o_custkey, report_date order by filing_date, accession) as k
+from (select o_custkey, cast(date_trunc('year', o_orderdate) as date) as report_date, cast(o_orderdate as date) as filing_date, cast(o_orderkey as varchar) as accession from orders
+where o_orderstatus = 'F' and year(o_orderdate) between 1993 and 1996 and o_orderkey % 5 <> 0)) where k = 1""")
 def earliest_per_key(spark, d):
-    o = t(spark, d, "orders").withColumn("order_year", F.year("o_orderdate"))
-    first = o.groupBy("o_custkey", "order_year").agg(F.min_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("f"))
-    return first.select("o_custkey", "order_year", "f.o_orderkey", "f.o_totalprice")
+    """Orders as filings: the status is the form, the order's year the period, every fifth has no HTML document."""
+    day = F.to_date("o_orderdate")
+    name = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ".txt").when(F.col("o_orderkey") % 2 == 0, ".HTM").otherwise(".html"))
+    filings = t(spark, d, "orders").select(F.col("o_custkey").alias("cik"), F.col("o_orderstatus").alias("form"), F.trunc(day, "year").alias("report_date"), day.alias("filing_date"), F.col("o_orderkey").cast("string").alias("accession"), name.alias("primary_document"))
+    return readers.filing_index(filings, "F", (1993, 1996)).select("doc_id", "cik", "report_date", "filing_date", "accession")
 
 
 # ---- HTML and text ---------------------------------------------------------------------------
 
-_TAGS = (r"<script\b.*?</script>", r"<style\b.*?</style>", r"<!--.*?-->", r"<[^>]*>", r"\s+")
+#: Tags of the pages put in the place of machine tags.
+_MACHINE = (("<title", "<ix:header"), ("</title>", "</ix:header>"), ("<h1", "<ix:hidden"), ("</h1>", "</ix:hidden>"), ("<p", "<ix:nonFraction"), ("</p>", "</ix:nonFraction>"), ("<a ", "<xbrli:unit "), ("</a>", "</xbrli:unit>"))
 
 
-@query(r"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'),
-'<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gis'), '\s+', ' ', 'gis')) as body from pages""")
+def _machine_sql() -> str:
+    out = "html"
+    for a, b in _MACHINE:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+@query(rf"""select page_id, len(regexp_extract_all(tagged, '(?i)<ix:nonfraction\b')) as figures, regexp_replace(regexp_replace(regexp_replace(regexp_replace(tagged, '(?is)<ix:header\b.*?</ix:header>', ' ', 'g'), '(?is)<ix:hidden\b.*?</ix:hidden>', ' ', 'g'),
+'</?ix:[a-zA-Z]+\b[^>]*>', '', 'g'), '</?(xbrli|xbrldi|link|xlink|iso4217|xbrl):[a-zA-Z]+\b[^>]*>', '', 'g') as body from (select page_id, {_machine_sql()} as tagged from pages)""")
 def html_strip(spark, d):
-    body = F.col("html")
-    for tag in _TAGS:
-        body = F.regexp_replace(body, "(?is)" + tag, " ")
-    return t(spark, d, "pages").select("page_id", F.trim(body).alias("body"))
+    tagged = F.col("html")
+    for a, b in _MACHINE:
+        tagged = F.replace(tagged, F.lit(a), F.lit(b))
+    return t(spark, d, "pages").select("page_id", tagged.alias("tagged")).select("page_id", html.tagged_figures(F.col("tagged")).alias("figures"), html.strip_markup(F.col("tagged")).alias("body"))
 
 
 @query(r"""select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, cast(len(regexp_extract_all(html, '<p[ >]')) as bigint) as n_paragraphs,
@@ -87,14 +97,12 @@ def nested_lines_explode(spark, d):
     return t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
 
 
-@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?')) as f from documents),
-n as (select doc_id, try_cast(replace(f, ',', '') as double) as v from m where length(f) <= 9)
-select d.doc_id, count(v) as n_figures, round(coalesce(sum(v), 0), 4) as total from documents d left join n using (doc_id) group by d.doc_id""")
+@query(r"""with v as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda f: try_cast(replace(f, ',', '') as double)), lambda x: x is not null) as v from documents)
+select doc_id, cast(len(v) as bigint) as n_figures, list_reduce(list_prepend(cast(0 as double), v), lambda a, b: a + b) as total from v""")
 def figures_in_text(spark, d):
-    found = F.filter(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0)), lambda f: F.length(f) <= 9)
-    v = F.filter(F.transform(found, figures.parse_figure), lambda x: x.isNotNull())
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    return t(spark, d, "documents").select("doc_id", F.size(v).cast("long").alias("n_figures"), F.round(total, 4).alias("total"))
+    """Every figure of every text, added up in printed order, so that both engines add the same numbers."""
+    v = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0)), figures.parse_figure), lambda x: x.isNotNull())
+    return t(spark, d, "documents").select("doc_id", F.size(v).cast("long").alias("n_figures"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 _TOKENS = ("1,234", "(565)", "(5", "5)", "-5", "(-5)", "$1,234.5", "($ 7)", "12%", "", "-", "abc", "1.2.3", "  42 ", "(1,000.25)", "0")
@@ -147,15 +155,6 @@ def running_heading(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(w).alias("heading"))
 
 
-@query("""select event_id, user_id, coalesce(last_value(m ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row),
-first_value(m ignore nulls) over (partition by user_id order by ts, event_id rows between current row and unbounded following)) as method from (select *, case when event_type in ('click', 'signup') then event_type end as m from events)""")
-def fill_method(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    m = F.when(F.col("event_type").isin("click", "signup"), F.col("event_type"))
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return t(spark, d, "events").select("event_id", "user_id", F.coalesce(F.last(m, True).over(back), F.first(m, True).over(on)).alias("method"))
-
-
 @query("""with c as (select l_partkey, l_suppkey, count(*) as n, max(case when l_returnflag = 'R' then 1 else 0 end) as flagged from lineitem group by 1, 2)
 select l_partkey, l_suppkey, n from (select *, row_number() over (partition by l_partkey order by flagged, -n, l_suppkey) as k from c) where k = 1""")
 def best_candidate_argmin(spark, d):
@@ -275,7 +274,7 @@ case when n_chars % 7 <> 6 then 'ok' when n_chars % 2 = 0 then 'row_not_found' e
 from documents cross join (values ('quality'), ('toxic')) f(field)),
 model as (select doc_id, field, 'run' || k as run_label, case when (doc_id + k) % 11 = 0 then null else cast((doc_id + k) % 3 as double) end as predicted, case when (doc_id + k) % 11 = 0 then 'llm_no_answer' else 'ok' end as status,
 cast(doc_id % 8 as double) / 8 + k as seconds, cast(n_chars as double) as input_tokens, cast(doc_id % 16 as double) as output_tokens, cast(n_chars as double) / 1024 as usd
-from documents cross join (values ('quality'), ('toxic')) f(field) cross join (values (1), (2), (3)) r(k) where doc_id % 13 <> 5)"""
+from documents cross join (values ('quality'), ('toxic')) f(field) cross join (values (1), (2), (3)) r(k))"""
 
 
 def _scored(source: str, method: str) -> str:
@@ -328,7 +327,7 @@ def rules_predictions(spark, d):
 def model_predictions(spark, d):
     runs = F.broadcast(spark.createDataFrame([(1,), (2,), (3,)], "k int"))
     gone = (F.col("doc_id") + F.col("k")) % 11 == 0
-    return _documents(spark, d).where("doc_id % 13 <> 5").crossJoin(_fields(spark)).crossJoin(runs).select(
+    return _documents(spark, d).crossJoin(_fields(spark)).crossJoin(runs).select(
         "doc_id", "field", F.lit("llm").alias("method"), F.concat(F.lit("run"), "k").alias("run_label"), F.when(~gone, ((F.col("doc_id") + F.col("k")) % 3).cast("double")).alias("predicted"),
         F.when(gone, "llm_no_answer").otherwise("ok").alias("status"), ((F.col("doc_id") % 8) / 8.0 + F.col("k")).alias("seconds"), F.col("n_chars").cast("double").alias("input_tokens"),
         (F.col("doc_id") % 16).cast("double").alias("output_tokens"), (F.col("n_chars") / 1024.0).alias("usd"),
@@ -345,6 +344,12 @@ def left_outer_score(spark, d):
     return _score(spark, d, "rules").select("doc_id", "field", "predicted", "status", "true_value", "outcome", "correct")
 
 
+@query(f"with {_GIVEN}, answered as (select * from rules where status = 'ok') select c.doc_id, c.field, 'rules' as method, coalesce(status, 'not_attempted') as status from cells c left join answered using (doc_id, field)")
+def fill_method(spark, d):
+    """Cells without a prediction get the method's name and a status of their own."""
+    return score.score(rules_predictions(spark, d).where("status = 'ok'"), truth_cells(spark, d), period_values(spark, d), "rules").select("doc_id", "field", "method", "status")
+
+
 @query(f"with {_GIVEN}, {_scored('model', 'llm')} select method, field, outcome, count(*) as cells, round_even(count(*) / sum(count(*)) over (partition by method, field), 4) as share from scored group by 1, 2, 3")
 def classify_outcomes(spark, d):
     return stats.failure_breakdown(_score(spark, d, "llm"))
@@ -414,9 +419,7 @@ _ALL = f"with {_union_scored()}, {_HOLDOUT}, s as (select * from every_method le
 
 def group_holdout_table(spark, d):
     """Sources into eight of dev and the rest; an arithmetic order in place of the library's hash, so that SQL can follow."""
-    keys = _documents(spark, d).select("cik").distinct()
-    w = Window.orderBy(F.when(F.col("cik") == 3, 0).otherwise(1), F.col("cik") * 7919 % 101, "cik")
-    return keys.withColumn("split", F.when(F.row_number().over(w) <= 8, "dev").otherwise("test"))
+    return split.group_split(_documents(spark, d), "cik", 0, 8, pinned=(3,), order=F.col("cik") * 7919 % 101)
 
 
 @query(f"with {_HOLDOUT} select split, count(*) as documents, count(distinct cik) as sources from documents join holdout on cast(substr(source, 4) as bigint) = cik group by split")
@@ -461,9 +464,8 @@ def run_variation(spark, d):
 select method, outcome, doc_id, field, run_label from w where k <= 4""")
 def stratified_sample(spark, d):
     """The four of each method and outcome that a report shows; by an arithmetic order in place of the hash."""
-    w = Window.partitionBy("method", "outcome").orderBy(F.col("doc_id") * 7919 % 10007, "doc_id", "field", F.col("run_label").asc_nulls_first())
-    wrong = _all_methods(spark, d).where("not correct").withColumn("k", F.row_number().over(w))
-    return wrong.where("k <= 4").select("method", "outcome", "doc_id", "field", "run_label")
+    wrong = _all_methods(spark, d).where("not correct")
+    return split.sample_per_group(wrong, ["method", "outcome"], 4, 0, ["doc_id", "field", "run_label"], order=F.col("doc_id") * 7919 % 10007).select("method", "outcome", "doc_id", "field", "run_label")
 
 
 _PRICES = "rates(model, rate_in, rate_out) as (values ('click', 0.5, 2.0), ('view', 0.25, 1.0), ('error', null, 1.0))"
@@ -481,9 +483,8 @@ def price_lookup(spark, d):
 @query("""select l_orderkey, l_linenumber, exists (select 1 from lineitem o where o.l_partkey = l.l_partkey and (o.l_orderkey <> l.l_orderkey) and abs(l.l_extendedprice - o.l_extendedprice) / o.l_extendedprice <= 0.005) as other_period from lineitem l""")
 def wrong_period_exists(spark, d):
     line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    every = other_period_values(line.select(F.col("l_partkey").alias("cik"), F.lit("f").alias("field"), F.col("l_orderkey").alias("period_end"), F.col("l_extendedprice").alias("value")))
-    near = F.exists("periods", lambda p: (p["period_end"] != F.col("l_orderkey")) & scoring.values_agree(F.col("l_extendedprice"), p["value"], F.lit("USD")))
-    return line.join(every.withColumnRenamed("cik", "l_partkey"), "l_partkey").select("l_orderkey", "l_linenumber", near.alias("other_period"))
+    near = score.near_other_period(line, ["l_partkey"], "l_orderkey", "l_extendedprice", F.lit("USD"))
+    return near.select("l_orderkey", "l_linenumber", F.col("other_period"))
 
 
 @query(f"""select l_orderkey, l_linenumber, {_scaled('(l_extendedprice * pow(10, l_partkey % 11 - 5))', '(l_extendedprice * (1 + l_discount / 20))')} as is_scaling_error from lineitem where l_extendedprice > 0""")
@@ -533,11 +534,13 @@ def parse_json_response(spark, d):
     return spark.createDataFrame([(x,) for x in _REPLIES], "reply string").withColumn("p", p).select("reply", "p.status", "p.values.a", "p.values.b")
 
 
-@query("select event_type, count(*) as n, sha256(string_agg(md5(event_id || '|' || user_id), '' order by event_id)) as digest from events group by event_type")
+_PARTS = ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 15 * k}, 15) as ubigint)) as varchar) as s{k}" for k in range(4))
+
+
+@query(f"select event_type, count(*) as n, {_PARTS} from (select event_type, sha256(event_id || chr(31) || user_id || chr(31) || event_type) as h from events) group by event_type")
 def digest_rows(spark, d):
-    row = F.md5(F.concat_ws("|", "event_id", "user_id").cast("binary"))
-    e = t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", row.alias("h")))).alias("r"))
-    return e.select("event_type", "n", F.sha2(F.array_join("r.h", ""), 256).alias("digest"))
+    out = stats.digest_parts(t(spark, d, "events"), ["event_id", "user_id", "event_type"], "event_type")
+    return out.select("event_type", "n", *[F.col(f"s{k}").cast("string").alias(f"s{k}") for k in range(4)])
 
 
 @query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")

@@ -40,9 +40,12 @@ class _Node:
 
     def string(self) -> str | None:
         """The one string that the element encloses, through any number of elements; else None."""
-        if len(self.kids) != 1:
-            return None
-        return self.kids[0] if isinstance(self.kids[0], str) else self.kids[0].string()
+        x = self
+        while not isinstance(x, str):
+            if len(x.kids) != 1:
+                return None
+            x = x.kids[0]
+        return x
 
     def text(self) -> str:
         out, waiting = [], [self]
@@ -111,9 +114,9 @@ def _clean(text: str) -> str:
 def _before(order: list, k: int, most: int, once: bool) -> str:
     """The text above order[k], at most its last `most` letters. Unless `once`, an element's only string counts for the element too."""
     parts, n = [], 0
-    for x in reversed(order[:k]):
-        if n >= most:
-            break
+    while k > 0 and n < most:
+        k -= 1
+        x = order[k]
         text = x if isinstance(x, str) else None if once or x.tag == "table" else x.string()
         if text and (text := _clean(text)):
             parts.append(text)
