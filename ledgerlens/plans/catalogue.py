@@ -7,9 +7,7 @@ filings and facts, events are a call log.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import captions, figures, headers, scoring
@@ -17,25 +15,7 @@ from ..functions.fields import Field, first_match, matches_any
 from ..operators import hybrid, labels, model, score, split, stats
 from ..sources import html, readers
 from ..streaming import ingest
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query, t  # noqa: F401
 
 # ---- scans, projections, filters -------------------------------------------------------------
 
@@ -149,20 +129,6 @@ def label_priority(spark, d):
     return t(spark, d, "part").select("p_partkey", "p_type", F.when(~matches_any(label, _VETO), first_match(label, _ORDERED)).alias("priority"))
 
 
-@query("""select event_id, user_id, last_value(case when event_type = 'error' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as heading from events""")
-def running_heading(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, d, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(w).alias("heading"))
-
-
-@query("""with c as (select l_partkey, l_suppkey, count(*) as n, max(case when l_returnflag = 'R' then 1 else 0 end) as flagged from lineitem group by 1, 2)
-select l_partkey, l_suppkey, n from (select *, row_number() over (partition by l_partkey order by flagged, -n, l_suppkey) as k from c) where k = 1""")
-def best_candidate_argmin(spark, d):
-    c = t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("flagged"))
-    best = c.groupBy("l_partkey").agg(F.min_by(F.struct("l_suppkey", "n"), F.struct("flagged", -F.col("n"), "l_suppkey")).alias("b"))
-    return best.select("l_partkey", "b.l_suppkey", "b.n")
-
-
 # ---- labels from facts -----------------------------------------------------------------------
 
 _FACT_FIELDS = [
