@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import documents_of, materialize
 
 WIDTH, SCHEME = 192, "sha256:"
+#: Digests that can be hot at most, and the groups that one is dealt over.
+MOST_HOT, SPREAD = 1000, 64
 _BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "figure", "figcaption", "table", "tr", "td", "th", "ul", "ol", "br", "hr", "pre", "blockquote", "main", "header", "footer", "nav", "aside", "title", "body", "html"}
 _SILENT = {"script", "style", "head", "template", "noscript"}
 
@@ -106,11 +108,30 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
 
     media: digest, and any columns; of rows with one digest the joined values are those of any, for
     equal digests mean equal media. Text items, and references without or with an unknown digest, stay
-    with nulls, so positions and captions stay complete. Sort by (doc_id, pos) to rebuild a sequence.
+    with nulls, so positions and captions stay complete. Digests that more than a MOST_HOT-th of the
+    references name are dealt over SPREAD groups. `rebuild` puts the sequences together again.
     """
     long = items.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.*")
     once = media.where("digest is not null").dropDuplicates(["digest"])
-    return long.join(once, "digest", "left")
+    known = long.where("digest is not null")
+    counts = known.groupBy("digest").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r.digest for r in counts.where(F.col("count") > max(1, total // MOST_HOT)).select("digest").collect()]  # at most MOST_HOT digests
+    is_hot = F.col("digest").isin(hot) if hot else F.lit(False)
+    spread = F.when(is_hot, F.pmod(F.xxhash64("pos", "ref", F.monotonically_increasing_id()), F.lit(SPREAD))).otherwise(0)
+    spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    found = known.withColumn("_spot", spread.cast("int")).join(once.withColumn("_spot", F.explode(spots)), ["digest", "_spot"], "left").drop("_spot")
+    # items without a digest need no join, in which they would all meet in one task
+    return found.unionByName(long.where("digest is null"), allowMissingColumns=True).select(*long.columns, *[c for c in once.columns if c != "digest"])
+
+
+def rebuild(resolved: DataFrame) -> DataFrame:
+    """(doc_id, items): the rows of resolve() as one sequence for each document in order of pos; an item has all of resolve()'s columns.
+
+    Rows that repeat a doc_id come together; give distinct ids to keep them apart.
+    """
+    rest = [c for c in resolved.columns if c not in ("doc_id", "pos")]
+    return resolved.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("items"))
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -202,8 +223,8 @@ def page_of(text: str | None) -> str:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's text as an interleaved document whose media is the text's own payload, resolved from the store.
 
-    Returns doc_id, pos and caption of the reference, n_texts (text items of the document), and the
-    stored media's features. Equal texts have equal values. Defined cases: null counts as empty, whose
+    Returns doc_id, the stored media's features, pos and caption of the reference, and n_texts (text
+    items of the document). Equal texts have equal values. Defined cases: null counts as empty, whose
     payload is one row of blanks; rows that repeat a doc_id each get their row; a null doc_id stays; an
     empty table gives no rows. Only digests and features are shuffled; images stay where they are stored.
     """
@@ -220,4 +241,4 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     parsed = rows.mapInArrow(run, f"doc_id long, n_texts long, items {ITEMS}")
     found = resolve(parsed.select(F.struct("doc_id", "n_texts").alias("doc_id"), "items"), features(store(rows)))
-    return found.select("doc_id.doc_id", "pos", "caption", "doc_id.n_texts", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "doc_id.n_texts")

@@ -58,3 +58,13 @@ def test_a_text_is_rebuilt_from_its_page(spark, sf_dir):
 
 def test_no_rows(docs):
     assert media.text_media(docs([(1, "x")]).where("false")).count() == 0
+
+
+def test_hot_digests_and_items_without_one(spark, monkeypatch):
+    monkeypatch.setattr(media, "MOST_HOT", 4)
+    pages = spark.createDataFrame([(i, f'<p>a{i}</p><img src="sha256:{"hot" if i % 3 else i}" alt="c{i}"><p>b</p><img src="x.png">') for i in range(60)], "page_id long, html string")
+    store = spark.createDataFrame([("hot", 1), *[(str(i), 2) for i in range(30)]], "digest string, size int")
+    got = {r.doc_id: r["items"] for r in media.rebuild(media.resolve(media.sequences(pages), store)).collect()}
+    assert len(got) == 60
+    for i, items in got.items():
+        assert [(x.pos, x.kind, x.text, x.caption, x.size) for x in items] == [(0, "text", f"a{i}", None, None), (1, "media", None, f"c{i}", 1 if i % 3 else 2 if i < 30 else None), (2, "text", "b", None, None), (3, "media", None, None, None)]

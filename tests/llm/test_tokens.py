@@ -84,3 +84,20 @@ def test_packing_keeps_rows_and_budget(docs, hard, tokenizer):
     full = got[got.bucket >= 0].groupby("bucket").apply(lambda g: (g.groupby("batch").size() < 64 // g.bucket_limit.iloc[0]).sum())
     assert (full <= 1).all()
     assert packing.pack(docs([(1, "x")]).where("false"), WORDS).count() == 0
+
+
+def test_batches_are_padded_and_rebuilt_to_ids(docs, hard):
+    from tokenizers import Tokenizer
+
+    texts = [*hard[:8], *[f"some words number {i} " * (i % 40) for i in range(200)]]
+    rows = [(None if i % 50 == 0 else i // 2, x) for i, x in enumerate(texts)]
+    plain = Tokenizer.from_file(WORDS)
+    got = packing.batches(docs(rows), WORDS, 1, pad_id=0, budget=512, n_buckets=4).collect()
+    found = []
+    for r in got:
+        assert len(r.ids) == r.width * len(r.doc_ids) and (len(r.ids) <= 512 or len(r.doc_ids) == 1)
+        for k, (doc, n) in enumerate(zip(r.doc_ids, r.lengths, strict=True)):
+            row = r.ids[k * r.width : (k + 1) * r.width]
+            assert not any(row[n:])
+            found.append((str(doc), tuple(row[:n])))
+    assert sorted(found) == sorted((str(i), (*plain.encode(x or "", add_special_tokens=False).ids, 1)) for i, x in rows)
