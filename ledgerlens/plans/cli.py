@@ -1,58 +1,89 @@
-"""python -m ledgerlens.plans.cli STAGE --in FOLDER --out FOLDER: index, labels, prepare, rules, report or all.
+"""python -m ledgerlens.plans.cli STAGE --in FOLDER --out FOLDER: index, labels, prepare, rules, model, score, report or all.
 
-FOLDER/in holds submissions/, facts/ and pages/; each stage reads what the stage before has written.
+FOLDER/in holds submissions/, facts/ and pages/; each stage reads what the stages before have written.
+Seconds of each stage go to run_timings. A provider for the model stage is given to `run`.
 """
 
 from __future__ import annotations
 
 import argparse
 import time
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, labels, split
+from ..functions.fields import FIELDS
+from ..operators import extract, labels, model, split
 from ..session import session
 from ..sources import html, readers
 from . import report
 
-STAGES = ("index", "labels", "prepare", "rules", "report")
+STAGES = ("index", "labels", "prepare", "rules", "model", "score", "report")
+COST = ("input_tokens", "output_tokens", "usd")
 
 
-def run(stage: str, source: str, out: str, spark=None) -> dict[str, float]:
-    """Seconds of each stage."""
+def run(stage: str, source: str, out: str, spark: SparkSession | None = None, runs: int = 3, make_provider: Callable[[], model.Provider] | None = None, settings: model.Settings | None = None, rates: dict[str, tuple[float | None, float | None]] | None = None) -> dict[str, float]:
+    """Seconds of each stage. runs: how often the model is asked, to see how its answers vary.
+
+    Without a provider, `all` leaves the model out, and the stage alone asks a stub.
+    """
     spark = spark or session()
     read = lambda name: spark.read.parquet(f"{out}/{name}")
-    took = {}
+    keep = lambda df, name: readers.save(df, f"{out}/{name}")
+    took: dict[str, float] = {}
     for s in STAGES if stage == "all" else (stage,):
         began = time.monotonic()
         if s == "index":
-            readers.save(readers.filing_index(readers.submissions(spark, f"{source}/submissions")), f"{out}/index")
+            keep(readers.filing_index(readers.submissions(spark, f"{source}/submissions")).orderBy("company", "report_date"), "index")
         elif s == "labels":
             facts = readers.company_facts(spark, f"{source}/facts")
             for name, df in zip(("truth", "misses", "coverage"), labels.build_labels(read("index"), facts), strict=True):
-                readers.save(df, f"{out}/{name}")
-            readers.save(labels.all_period_values(facts), f"{out}/all_periods")
-            readers.save(split.group_split(read("index"), "cik", seed=0, n_dev=10), f"{out}/split")
+                keep(df, name)
+            keep(labels.all_period_values(facts), "all_periods")
+            keep(split.group_split(read("index"), "cik", seed=0, n_dev=10), "split")
         elif s == "prepare":
-            readers.save(html.prepare(readers.raw_pages(spark, f"{source}/pages")), f"{out}/prepared")
+            keep(html.counters(keep(html.prepare(readers.raw_pages(spark, f"{source}/pages")), "prepared")), "prepare_counters")
         elif s == "rules":
-            found = extract.extract(read("prepared"), read("index")).withColumns({c: F.lit(0.0) for c in ("seconds", "input_tokens", "output_tokens", "usd")})
-            readers.save(found.drop("unit"), f"{out}/predictions_rules")
+            found = keep(extract.extract(read("prepared"), read("index")).drop("unit"), "rules_found")
+            each = (time.monotonic() - began) / max(1, found.select("doc_id").distinct().count()) / len(FIELDS)  # the stage's time, shared out
+            keep(found.withColumn("seconds", F.lit(each)).withColumns({c: F.lit(0.0) for c in COST}), "predictions_rules")
+        elif s == "model" and (make_provider or stage == "model"):
+            asked = settings or model.Settings()
+            prices = readers.pricing(spark, rates or {asked.model: (None, None)})
+            keep(model.run_model(read("prepared"), read("index"), make_provider or model.StubProvider, prices, asked, runs, store=lambda df: keep(df, "model_replies")), "predictions_model")
+        elif s == "score":
+            try:
+                answers = read("predictions_model")
+            except AnalysisException:  # the model stage is optional
+                answers = None
+            scored = report.evaluate(read("predictions_rules"), answers, read("truth"), read("all_periods"), read("split"))
+            write_scored(keep, scored)
         elif s == "report":
-            scored = readers.save(report.evaluate(read("predictions_rules"), None, read("truth"), read("all_periods"), read("split")), f"{out}/scored")
-            for name, df in report.build_report(scored, read("predictions_rules").select("doc_id", "field", "method", "seconds"), read("prepared")).items():
+            for name, df in report.build_report(read("scored"), read("latency"), read("prepared")).items():
                 readers.export_csv(df, f"{out}/csv/{name}")
-        took[s] = time.monotonic() - began
+        took[s] = round(time.monotonic() - began, 2)
+    timings = [*took.items(), ("total", round(sum(took.values()), 2))]
+    spark.createDataFrame(timings, "stage string, seconds double").coalesce(1).write.mode("overwrite").json(f"{out}/run_timings")
     return took
 
 
+def write_scored(keep: Callable[[DataFrame, str], DataFrame], scored: DataFrame) -> None:
+    """The scored cells without their seconds, which go to a table of their own: all that was decided is then the same in every run."""
+    both = keep(scored, "scored_timed")
+    keep(both.select("doc_id", "field", "method", "seconds"), "latency")
+    keep(both.drop("seconds"), "scored")
+
+
 def main() -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("stage", choices=(*STAGES, "all"))
     p.add_argument("--in", dest="source", required=True)
     p.add_argument("--out", required=True)
+    p.add_argument("--runs", type=int, default=3)
     a = p.parse_args()
-    for stage, s in run(a.stage, a.source, a.out).items():
+    for stage, s in run(a.stage, a.source, a.out, runs=a.runs).items():
         print(f"{stage}: {s:.1f} s")
 
 

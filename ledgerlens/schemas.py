@@ -10,7 +10,6 @@ PREDICTIONS = "doc_id string, field string, method string, run_label string, pre
 ALL_PERIODS = "cik bigint, field string, period_end date, value double"
 PRICING = "model string, usd_per_million_input double, usd_per_million_output double"
 COMPANY_FACTS = "map<string,map<string,struct<units:map<string,array<struct<start:string,end:string,val:double,accn:string,form:string,fy:int,fp:string>>>>>>"
-SUBMISSIONS = (
-    "name string, tickers array<string>, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,"
-    "reportDate:array<string>,primaryDocument:array<string>,isInlineXBRL:array<int>>>"
-)
+_FILED = "accessionNumber:array<string>,form:array<string>,filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>,isInlineXBRL:array<int>"
+#: A history's main page, or (with the arrays at the top) one of the overflow pages that it names.
+SUBMISSIONS = f"name string, tickers array<string>, filings struct<recent:struct<{_FILED}>,files:array<struct<name:string>>>, " + ", ".join(x.replace(":", " ", 1) for x in _FILED.split(",") if x)

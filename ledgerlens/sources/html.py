@@ -20,6 +20,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _DROPPED = {"script", "style", "sup"}
 
 
+# The machine tags of filings.
 def strip_markup(html: Column) -> Column:
     """Without the filer's machine tags: headers and hidden parts go, other tags leave what they enclose."""
     out = F.regexp_replace(html, r"(?is)<ix:header\b.*?</ix:header>", " ")
@@ -181,3 +182,8 @@ def prepare(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", on
     parsed = ready.mapInArrow(run, "doc_id string, ix_facts_removed long, raw_chars long, stripped_chars long, text string, found array<struct<index:int,rows:array<array<string>>,preamble:string,wide:string>>")
     table = lambda t: F.struct(t["index"].alias("index"), t["rows"].alias("rows"), t["preamble"].alias("preamble"), F.coalesce(captions.statement_of(t["preamble"]), captions.statement_of(t["wide"])).alias("statement"), captions.table_scale(t["preamble"], t["rows"]).alias("scale"))
     return parsed.withColumn("tables", F.transform("found", table)).drop("found")
+
+
+def counters(prepared: DataFrame) -> DataFrame:
+    """One row: documents, their tables, and machine tags taken out."""
+    return prepared.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("tables")), F.lit(0)).cast("long").alias("tables"), F.coalesce(F.sum("ix_facts_removed"), F.lit(0)).cast("long").alias("ix_facts_removed"))

@@ -19,9 +19,10 @@ def raw_pages(spark: SparkSession, path: str, glob: str = "*.htm*") -> DataFrame
 
 
 def document_status(index: DataFrame, pages: DataFrame) -> DataFrame:
-    """The index with doc_bytes and doc_status: ok, or missing where no file was landed."""
+    """The index with doc_bytes and doc_status: ok, or the kind of failure: missing where no file was landed, empty where it has no byte."""
     out = index.join(pages.select("doc_id", "doc_bytes"), "doc_id", "left")
-    return out.withColumn("doc_status", F.when(F.col("doc_bytes").isNull(), "missing").otherwise("ok")).fillna(0, ["doc_bytes"])
+    status = F.when(F.col("doc_bytes").isNull(), "failed: missing").when(F.col("doc_bytes") == 0, "failed: empty").otherwise("ok")
+    return out.withColumn("doc_status", status).fillna(0, ["doc_bytes"])
 
 
 def prepared_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +47,24 @@ def company_facts(spark: SparkSession, path: str, taxonomy: str = "us-gaap") ->
 
 
 def submissions(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each filing of histories kept as parallel arrays. The cik comes from the file's name (digits)."""
-    raw = spark.read.schema(schemas.SUBMISSIONS).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_name"))
-    r = "filings.recent."
+    """One row for each filing of histories kept as parallel arrays, with those of the overflow pages that a history names.
+
+    Pages lie in one folder; the cik comes from the file's name (its first digits). Company and ticker stand on
+    the main page.
+    """
+    raw = spark.read.schema(schemas.SUBMISSIONS).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_name")).withColumn("cik", F.regexp_extract("_file", r"(\d+)", 1).cast("long"))
+    main, more = raw.where("filings is not null"), raw.where("filings is null")
+    named = main.select(F.explode("filings.files.name").alias("_file")).distinct()
     names = {"accessionNumber": "accession", "form": "form", "filingDate": "filing_date", "reportDate": "report_date", "primaryDocument": "primary_document", "isInlineXBRL": "is_inline_xbrl"}
-    zipped = F.arrays_zip(*[F.coalesce(F.col(r + k), F.array().cast("array<string>" if k != "isInlineXBRL" else "array<int>")).alias(v) for k, v in names.items()])
-    rows = raw.select(F.regexp_extract("_file", r"(\d+)", 1).cast("long").alias("cik"), F.col("name").alias("company"), F.coalesce(F.get("tickers", 0), F.lit("")).alias("ticker"), F.inline(zipped))
+
+    def rows(pages: DataFrame, at: str) -> DataFrame:
+        zipped = F.arrays_zip(*[F.coalesce(F.col(at + k), F.array().cast("array<string>" if k != "isInlineXBRL" else "array<int>")).alias(v) for k, v in names.items()])
+        return pages.select("cik", F.inline(zipped))
+
+    companies = main.select("cik", F.col("name").alias("company"), F.coalesce(F.get("tickers", 0), F.lit("")).alias("ticker")).dropDuplicates(["cik"])
+    each = rows(main, "filings.recent.").unionByName(rows(more.join(named, "_file", "left_semi"), "")).join(companies, "cik")
     day = lambda c: F.try_to_date(F.col(c), "yyyy-MM-dd").alias(c)
-    return rows.select("cik", "company", "ticker", "form", day("filing_date"), day("report_date"), "accession", F.coalesce("primary_document", F.lit("")).alias("primary_document"), F.coalesce("is_inline_xbrl", F.lit(0)).alias("is_inline_xbrl"))
+    return each.select("cik", "company", "ticker", "form", day("filing_date"), day("report_date"), "accession", F.coalesce("primary_document", F.lit("")).alias("primary_document"), F.coalesce("is_inline_xbrl", F.lit(0)).alias("is_inline_xbrl"))
 
 
 def filing_index(filings: DataFrame, form: str = "10-K", years: tuple[int, int] = (2019, 2024)) -> DataFrame:
@@ -94,6 +105,13 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True)
 
 
+def universe(spark: SparkSession, path: str) -> DataFrame:
+    """(cik, ticker, name) of the companies in a configuration file: a list of objects, alone or under "companies"."""
+    found = json_config(spark, path)
+    rows = found.get("companies", []) if isinstance(found, dict) else found
+    return spark.createDataFrame([(int(x["cik"]), x.get("ticker"), x.get("name")) for x in rows], "cik long, ticker string, name string")
+
+
 def export_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One CSV file with a header, for result tables of a few rows."""
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -143,6 +143,58 @@ def test_readers_and_stages(spark, tmp_path):
     assert readers.document_status(spark.read.parquet(f"{tmp_path}/out/index"), pages).first().doc_status == "ok"
 
 
+def test_overflow_pages_of_a_history(spark, tmp_path):
+    recent = {"accessionNumber": ["a9"], "form": ["10-K"], "filingDate": ["2024-02-01"], "reportDate": ["2023-12-31"], "primaryDocument": ["x.htm"], "isInlineXBRL": [1]}
+    older = {"accessionNumber": ["a1", "a2"], "form": ["10-K", "10-Q"], "filingDate": ["2020-02-01", "2020-05-01"], "reportDate": ["2019-12-31", "2020-03-31"]}
+    (tmp_path / "CIK0000000007.json").write_text(json.dumps({"name": "Acme", "tickers": ["AC", "AD"], "filings": {"recent": recent, "files": [{"name": "CIK0000000007-submissions-001.json"}]}}))
+    (tmp_path / "CIK0000000007-submissions-001.json").write_text(json.dumps(older))
+    (tmp_path / "CIK0000000007-submissions-002.json").write_text(json.dumps(older))  # not named by the history
+    (tmp_path / "CIK0000000008.json").write_text(json.dumps({"name": "None", "tickers": [], "filings": {"recent": {}, "files": []}}))
+    got = sorted((r.cik, r.company, r.ticker, r.accession, r.form, str(r.report_date), r.primary_document, r.is_inline_xbrl) for r in readers.submissions(spark, str(tmp_path)).collect())
+    assert got == [(7, "Acme", "AC", "a1", "10-K", "2019-12-31", "", 0), (7, "Acme", "AC", "a2", "10-Q", "2020-03-31", "", 0), (7, "Acme", "AC", "a9", "10-K", "2023-12-31", "x.htm", 1)]
+
+
+def test_all_stages_with_a_model(spark, tmp_path):
+    for name in ("submissions", "facts", "pages"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+    recent = {"accessionNumber": ["a1"], "form": ["10-K"], "filingDate": ["2024-02-01"], "reportDate": ["2023-12-31"], "primaryDocument": ["x.htm"]}
+    (tmp_path / "in/submissions/CIK0000000007.json").write_text(json.dumps({"name": "Acme", "tickers": ["AC"], "filings": {"recent": recent}}))
+    fact = {"start": "2023-01-01", "end": "2023-12-31", "val": 1.2e9, "accn": "a1", "form": "10-K", "fy": 2023, "fp": "FY"}
+    (tmp_path / "in/facts/7.json").write_text(json.dumps({"cik": 7, "facts": {"us-gaap": {"Revenues": {"units": {"USD": [fact]}}}}}))
+    (tmp_path / "in/pages/0000000007_a1.htm").write_text("<p>no table here</p>")
+    cli.run("all", str(tmp_path / "in"), str(tmp_path / "out"), spark, runs=2, make_provider=lambda: model.StubProvider({"Acme": '{"revenue": "1,200,000,000"}'}), rates={"stub": (1.0, 2.0)})
+    scored = spark.read.parquet(f"{tmp_path}/out/scored")
+    got = sorted((r.method, r.run_label or "", r.outcome) for r in scored.where("field = 'revenue'").collect())
+    assert got == [("hybrid", "run1", "correct"), ("hybrid", "run2", "correct"), ("llm", "run1", "correct"), ("llm", "run2", "correct"), ("rules", "", "not_found")]
+    assert "seconds" not in scored.columns and spark.read.parquet(f"{tmp_path}/out/latency").count() == scored.count()
+    timings = {r.stage: r.seconds for r in spark.read.json(f"{tmp_path}/out/run_timings").collect()}
+    assert set(timings) == {*cli.STAGES, "total"}
+    assert spark.read.parquet(f"{tmp_path}/out/prepare_counters").first().asDict() == {"documents": 1, "tables": 0, "ix_facts_removed": 0}
+    assert spark.read.parquet(f"{tmp_path}/out/predictions_rules").where("seconds <= 0").count() == 0
+
+
+def test_densest_window_by_blocks(spark):
+    import random
+
+    rng = random.Random(1)
+    words = ("alpha", "beta", "stockholders", "aa")
+    texts = ["", "alpha", *[" ".join(rng.choice([*words, "x", "yy", "zzz"]) for _ in range(rng.randrange(400))) for _ in range(40)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    for budget, stride in ((100, 20), (100, 33), (20, 50), (64, 64)):
+        got = {r.i: r.w for r in df.select("i", model.densest_window(F.col("t"), budget, stride, words).alias("w")).collect()}
+        for i, x in enumerate(texts):
+            starts = range(0, max(len(x) - budget, 0) + 1, stride)
+            best = max(starts, key=lambda s: (sum(x[s : s + budget].lower().count(w) for w in words), -s))
+            assert got[i] == x[best : best + budget]
+
+
+def test_deep_nesting_is_parsed():
+    from ledgerlens.sources import html
+
+    page = "<div>" * 5000 + "<table><tr><td>a</td><td>1</td></tr></table>" + "</div>" * 5000
+    assert html.parse_page("<p>above</p>" + page)["tables"][0]["rows"] == [["a", "1"]]
+
+
 def test_dotenv(tmp_path, monkeypatch):
     monkeypatch.setenv("KEPT", "old")
     monkeypatch.delenv("FRESH", raising=False)
