@@ -166,7 +166,7 @@ _TABLE = pa.struct([("index", pa.int32()), ("rows", pa.list_(pa.list_(pa.string(
 def prepare(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", once: bool = False) -> DataFrame:
     """Prepared documents (schemas.PREPARED without scale_phrase) of a table of pages. Null and empty pages have no table."""
     conf = pages.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)  # pages can have ten megabytes and more
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)  # pages can have ten megabytes and more: then one makes a batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
