@@ -34,19 +34,12 @@ def tagged_figures(html: Column) -> Column:
 
 
 class _Node:
-    __slots__ = ("kids", "parent", "tag")
+    """only: the one string that the element encloses, through any number of elements, once `_told` has run."""
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.kids = tag, parent, []
+    __slots__ = ("kids", "only", "parent", "tag")
 
-    def string(self) -> str | None:
-        """The one string that the element encloses, through any number of elements; else None."""
-        x = self
-        while not isinstance(x, str):
-            if len(x.kids) != 1:
-                return None
-            x = x.kids[0]
-        return x
+    def __init__(self, tag: str, parent: _Node | None):
+        self.tag, self.parent, self.kids, self.only = tag, parent, [], None
 
     def text(self) -> str:
         out, waiting = [], [self]
@@ -106,22 +99,30 @@ class _Tree(HTMLParser):
             self.order.append(data)
 
 
+_PLAIN = str.maketrans({"\u00a0": " ", "\u2019": "'", "\u2018": "'", "\u2014": " ", "\u2013": "-", "\u2212": "-"})
+
+
 def _clean(text: str) -> str:
-    for a, b in ((" ", " "), ("’", "'"), ("‘", "'"), ("—", " "), ("–", "-"), ("−", "-")):
-        text = text.replace(a, b)
-    return " ".join(text.split())
+    return " ".join(text.translate(_PLAIN).split())
+
+
+def _told(order: list, once: bool) -> list[str]:
+    """The cleaned text of each string, and unless `once` of each element with one string only; else empty."""
+    for x in reversed(order):  # what an element encloses comes behind it
+        if not isinstance(x, str) and len(x.kids) == 1:
+            x.only = x.kids[0] if isinstance(x.kids[0], str) else x.kids[0].only
+    texts = (x if isinstance(x, str) else None if once or x.tag == "table" else x.only for x in order)
+    return [_clean(t) if t else "" for t in texts]
 
 
-def _before(order: list, k: int, most: int, once: bool) -> str:
-    """The text above order[k], at most its last `most` letters. Unless `once`, an element's only string counts for the element too."""
+def _before(told: list[str], k: int, most: int) -> str:
+    """The text above order[k], at most its last `most` letters."""
     parts, n = [], 0
     while k > 0 and n < most:
         k -= 1
-        x = order[k]
-        text = x if isinstance(x, str) else None if once or x.tag == "table" else x.string()
-        if text and (text := _clean(text)):
-            parts.append(text)
-            n += len(text)
+        if told[k]:
+            parts.append(told[k])
+            n += len(told[k])
     return " ".join(reversed(parts))[-most:]
 
 
@@ -138,6 +139,7 @@ def parse_page(html: str | None, once: bool = False) -> dict:
     tree.close()
     found = []
     places = [k for k, x in enumerate(tree.order) if not isinstance(x, str) and x.tag == "table"]
+    told = _told(tree.order, once) if places else []
     for index, k in enumerate(places):
         table, rows, waiting = tree.order[k], [], [tree.order[k]]
         while waiting:
@@ -155,7 +157,8 @@ def parse_page(html: str | None, once: bool = False) -> dict:
                     rows.append(cells)
             waiting.extend(reversed([y for y in x.kids if not isinstance(y, str) and y.tag != "table"]))
         if rows:
-            found.append({"index": index, "rows": rows, "preamble": _before(tree.order, k, PREAMBLE, once), "wide": _before(tree.order, k, TITLE_WINDOW, once)})
+            wide = _before(told, k, TITLE_WINDOW)
+            found.append({"index": index, "rows": rows, "preamble": wide[-PREAMBLE:], "wide": wide})
     lines = [" ".join(x.split()) for x in tree.order if isinstance(x, str)]
     return {"text": "\n".join(x for x in lines if x), "tables": found}
 

@@ -191,7 +191,7 @@ def test_densest_window_by_blocks(spark):
 def test_deep_nesting_is_parsed():
     from ledgerlens.sources import html
 
-    page = "<div>" * 5000 + "<table><tr><td>a</td><td>1</td></tr></table>" + "</div>" * 5000
+    page = "<div>" * 100_000 + "<table><tr><td>a</td><td>1</td></tr></table>" + "</div>" * 100_000
     assert html.parse_page("<p>above</p>" + page)["tables"][0]["rows"] == [["a", "1"]]
 
 
