@@ -29,10 +29,16 @@ def near_other_period(df: DataFrame, keys: list[str], period: str, value: str, u
     return rows.withColumn("other_period", near[0] | near[1]).drop("_first", "_last", "_below", "_above", "_run")
 
 
-def score(predictions: DataFrame, truth: DataFrame, all_periods: DataFrame, method: str | None = None) -> DataFrame:
-    """Every label with each prediction for it (one null one if there is none), its outcome and whether it is correct."""
-    carried = [c for c in predictions.columns if c not in truth.columns or c in ("doc_id", "field")]
-    cells = truth.join(predictions.select(*carried), ["doc_id", "field"], "left")
+def score(predictions: DataFrame, truth: DataFrame, all_periods: DataFrame, method: str | None = None, methods: tuple[str, ...] = ()) -> DataFrame:
+    """Every label with each prediction for it (one null one if there is none), its outcome and whether it is correct.
+
+    methods: for predictions of several methods at once; then every label meets each of them.
+    """
+    keys = ["doc_id", "field", *["method"] * bool(methods)]
+    carried = [c for c in predictions.columns if c not in truth.columns or c in keys]
+    if methods:
+        truth = truth.crossJoin(F.broadcast(truth.sparkSession.createDataFrame([(m,) for m in methods], "method string")))
+    cells = truth.join(predictions.select(*carried), keys, "left")
     cells = cells.withColumn("status", F.coalesce("status", F.lit("not_attempted")))
     if method:
         cells = cells.withColumn("method", F.coalesce("method", F.lit(method)))

@@ -15,6 +15,7 @@ from ..functions.fields import Field, first_match, matches_any
 from ..operators import hybrid, labels, model, score, split, stats
 from ..sources import html, readers
 from ..streaming import ingest
+from . import report
 from .registry import ORACLES, QUERIES, query, t  # noqa: F401
 
 # ---- scans, projections, filters -------------------------------------------------------------
@@ -360,11 +361,8 @@ def wilson_by_group(spark, d):
 
 
 def _all_methods(spark, d):
-    out = None
-    for m in stats.METHODS:
-        s = _score(spark, d, m)
-        out = s if out is None else out.unionByName(s)
-    return split.attach_split(out, group_holdout_table(spark, d), "cik")
+    rules, answers = rules_predictions(spark, d), model_predictions(spark, d)
+    return report.evaluate(rules, answers, truth_cells(spark, d), period_values(spark, d), group_holdout_table(spark, d))
 
 
 def _union_scored() -> str:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import failures, hybrid, score, split, stats
 
 
 def evaluate(rules: DataFrame, model: DataFrame | None, truth: DataFrame, all_periods: DataFrame, splits: DataFrame, whole_runs: bool = True) -> DataFrame:
     """Scored cells of the rules, the model and their combination, with split and costs."""
-    methods = [rules] if model is None else [rules, model, hybrid.combine(rules, model, whole_runs)]
-    out = None
-    for predictions, name in zip(methods, stats.METHODS, strict=False):
-        scored = split.attach_split(score.score(predictions, truth, all_periods, name), splits, "cik")
-        out = scored if out is None else out.unionByName(scored, allowMissingColumns=True)
-    return out
+    each = [rules] if model is None else [rules, model, hybrid.combine(rules, model, whole_runs)]
+    names = stats.METHODS[: len(each)]
+    named = [p.withColumn("method", F.coalesce("method", F.lit(n))) for p, n in zip(each, names, strict=True)]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return split.attach_split(score.score(together, truth, all_periods, methods=names), splits, "cik")
 
 
 def tables(scored: DataFrame, latency: DataFrame, suffix: str = "") -> dict[str, DataFrame]:
