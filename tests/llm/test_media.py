@@ -68,3 +68,9 @@ def test_hot_digests_and_items_without_one(spark, monkeypatch):
     assert len(got) == 60
     for i, items in got.items():
         assert [(x.pos, x.kind, x.text, x.caption, x.size) for x in items] == [(0, "text", f"a{i}", None, None), (1, "media", None, f"c{i}", 1 if i % 3 else 2 if i < 30 else None), (2, "text", "b", None, None), (3, "media", None, None, None)]
+
+
+def test_null_and_repeated_ids_each_get_their_row(docs):
+    rows = [(None, "a"), (None, "a"), (None, None), (7, "b"), (7, "c"), (7, "c")]
+    got = sorted((str(r.doc_id), r.n_bytes, r.payload_sha256) for r in media.text_media(docs(rows)).collect())
+    assert got == sorted((str(i), len(x or ""), hashlib.sha256((x or "").encode().ljust(192)).hexdigest()) for i, x in rows)

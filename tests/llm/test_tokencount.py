@@ -85,3 +85,12 @@ def test_a_fresh_memo_changes_nothing(monkeypatch):
 
 def test_no_rows(docs):
     assert tokencount.token_counts(docs([(1, "x")]).where("false"), PIECES).count() == 0
+
+
+def test_null_and_repeated_ids_each_get_their_row(docs, hard):
+    texts = [*hard[:8], "more words"]
+    one = {r.doc_id: tuple(r)[1:] for r in tokencount.token_counts(docs(texts), PIECES).collect()}
+    rows = [(None if i % 2 else 7, x) for i, x in enumerate(texts)] + [(None, None), (7, texts[-1])]
+    got = sorted((str(tuple(r)) for r in tokencount.token_counts(docs(rows), PIECES).collect()))
+    want = sorted(str((i, *one[texts.index(x)])) for i, x in rows)
+    assert got == want
