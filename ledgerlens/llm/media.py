@@ -104,7 +104,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """One row for each item of `items` (doc_id, items), with the media table's columns where its digest is known.
+    """One row for each item of `items` (doc_id, items; a written table, for it is read more than once), with the media table's columns where its digest is known.
 
     media: digest, and any columns; of rows with one digest the joined values are those of any, for
     equal digests mean equal media. Text items, and references without or with an unknown digest, stay
@@ -240,5 +240,6 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(refs, pa.list_(pa.struct(ITEM)))], names=["doc_id", "n_texts", "items"])
 
     parsed = rows.mapInArrow(run, f"doc_id long, n_texts long, items {ITEMS}")
-    found = resolve(parsed.select(F.struct("doc_id", "n_texts").alias("doc_id"), "items"), features(store(rows)))
+    refs = materialize(parsed.select(F.struct("doc_id", "n_texts").alias("doc_id"), "items"), "references")  # small; resolve() reads them more than once
+    found = resolve(refs, features(store(rows)))
     return found.select("doc_id.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "doc_id.n_texts")
