@@ -52,24 +52,13 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-#: Nodes with more than a MOST_HOT-th of all edges are hot; there are at most 2 * MOST_HOT.
-MOST_HOT = 1000
-
-
-def _star(edges: DataFrame, n_edges: int, large: bool) -> DataFrame:
-    """edges (a > b): each node's other neighbours (larger ones, or smaller ones) are linked to its smallest.
-
-    The smallest neighbours of hot nodes go to every task, so that no task reads all edges of one.
-    """
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges (a > b): each node's other neighbours (larger ones, or smaller ones) are linked to its smallest."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    most = max(1, n_edges // MOST_HOT)
-    hot = least.where(F.col("n") > most).select("u", F.col("m").alias("hot_m"))
-    told = both.join(F.broadcast(hot), "u", "left")
-    cold = told.where("hot_m is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
-    linked = cold.unionByName(told.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    linked = both.join(least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -85,12 +74,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_local, EDGES)
     e = materialize(e.distinct(), "edges")
-    n, said = e.count(), None
+    said = None
     while True:
-        e = materialize(_star(_star(e, n, True), n, False), "stars")
+        e = materialize(_star(_star(e, True), False), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == said:
             break
-        n, said = now[0], tuple(now)
+        said = tuple(now)
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
