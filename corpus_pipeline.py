@@ -22,15 +22,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the one that stays, stay with it; of rows without an id one stays.
     """
     columns = docs.columns
-    docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keys = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", "_row").alias("_id"), F.xxhash64("text").alias("_hash")]
-    found = neardup.near_duplicates(docs, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    least = docs.select("_row", *keys).join(found, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "_id", "_row", "_hash")).alias("k"))
-    return docs.select("*", *keys).join(least.select("k._none", "k._id", "k._hash"), ["_none", "_id", "_hash"], "left_semi").select(columns)
+    free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in columns))  # names that no column of the user has
+    row, none, least_id, digest = (free + x for x in ("row", "none", "id", "hash"))
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keys = [F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", row).alias(least_id), F.xxhash64("text").alias(digest)]
+    found = neardup.near_duplicates(docs, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    least = docs.select(row, *keys).join(found, row).groupBy("component_id").agg(F.min(F.struct(none, least_id, row, digest)).alias("k"))
+    return docs.select("*", *keys).join(least.select(f"k.{none}", f"k.{least_id}", f"k.{digest}"), [none, least_id, digest], "left_semi").select(columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a benchmark item go."""
+    """Rows whose text holds a benchmark item or a part of one go.
+
+    Each row is judged by its own text: null and empty texts stay, rows that repeat a text go or stay together.
+    """
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,7 +46,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length bucket, batch and slot."""
+    """Each row's length bucket, batch and slot.
+
+    Null and empty texts have one token; rows that repeat an id or a text each get a place; ties in length go by doc_id.
+    """
     return packing.pack(docs, WORDS)
 
 

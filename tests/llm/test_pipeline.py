@@ -59,3 +59,10 @@ def test_a_toxic_row_takes_no_other_row_of_its_id_along(spark, tmp_path, docs):
     more = [(None, text(1001)), (None, text(1002) + f" {bad}"), (900, text(1003)), (900, text(1004) + f" {bad}")]
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.not_toxic(spark, docs(rows + more), str(tmp_path)).collect()}
     assert [r in kept for r in more] == [True, False, True, False]
+
+
+def test_columns_of_the_user_with_inner_names_stay(spark, docs):
+    df = docs([(1, "one two three four five six"), (2, "one two three four five six")]).selectExpr("*", "1 as _row", "2 as _none", "3 as _id", "4 as _hash", "5 as __row", "6 as k")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert [(r.doc_id, r._row, r._none, r._id, r._hash, r["__row"], r.k) for r in got.collect()] == [(1, 1, 2, 3, 4, 5, 6)]
