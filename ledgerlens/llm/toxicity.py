@@ -36,8 +36,8 @@ from .common import claim_memo, documents_of, materialize
 from .neardup import minhashes, shingle_sets
 
 N_TOXIC, N_ORDINARY = 3000, 6000
-#: Contrasting n-grams: how much oftener in toxic documents (log odds), and how surely so (likelihood-ratio statistic), at every size.
-GRAM, LONGEST, CONTRAST, SURE = 5, 24, 3.0, 36.0
+#: Contrasting n-grams: how much oftener in toxic documents (log odds), and in what share of them at least (and in two documents), at every size.
+GRAM, LONGEST, CONTRAST, SUPPORT = 5, 24, 3.0, 0.06
 ORDINARY_BYTES, LEVEL, WINDOW = 65536, 19, 8
 #: Of eight MinHash values, so many in common make near copies.
 IN_COMMON = 4
@@ -193,12 +193,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w.tolist()
 
 
-def _fit(k: F.Column, n: int) -> F.Column:
-    """The log-likelihood of k out of n documents at its own rate."""
-    part = lambda x: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
-    return part(k) + part(F.lit(n) - k)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1; null is no label; of several, the greatest)."""
     sample, totals = _sample(docs, labels)
@@ -209,8 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = [max(1, sizes.get(k, 0)) for k in (0, 1)]
     counts = train.select("text", "toxic").mapInArrow(_gram_counts, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / n[1]) - F.log((F.col("ordinary") + 0.5) / n[0])
-    sure = 2 * (_fit(F.col("toxic"), n[1]) + _fit(F.col("ordinary"), n[0]) - _fit(F.col("toxic") + F.col("ordinary"), n[0] + n[1]))
-    good = {r.gram for r in counts.where((odds >= CONTRAST) & (sure >= SURE)).select("gram").collect()}
+    good = {r.gram for r in counts.where((odds >= CONTRAST) & (F.col("toxic") >= 2) & (F.col("toxic") >= SUPPORT * n[1])).select("gram").collect()}
     cuts = train.select("text", "toxic").mapInArrow(lambda it: _training_windows(it, good), "toxic int, cut binary")
     by_class = [sorted(cuts.where(F.col("toxic") == k).select("cut").toArrow().column(0).to_pylist()) for k in (0, 1)]
     if not by_class[1] or not by_class[0]:
