@@ -52,8 +52,8 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
-def word_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of some texts, and each text's offsets into them."""
+def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of some texts begin and end, and each text's offsets into them."""
     n = len(b)
     inside = ~_SPACE[b]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -61,10 +61,17 @@ def word_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     full = off[:-1] < off[1:]
     before[off[:-1][full]] = False
     after[off[1:][full] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    starts = np.flatnonzero(inside & ~before)
+    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, off)
+
+
+def word_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of some texts, and each text's offsets into them."""
+    n = len(b)
+    starts, ends, at = word_spans(b, off)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[LOWER[b]] * _power(BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] if n else np.empty(0, np.uint64)), np.searchsorted(starts, off)
+    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts] if n else np.empty(0, np.uint64)), at
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:

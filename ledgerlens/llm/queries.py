@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, neardup, packing, pii, suffixdedup, tokencount, tokenfile, toxicity
+from . import convtrie, decontaminate, langid, media, neardup, packing, pii, resample, simhash, sql, suffixdedup, tokencount, tokenfile, toxicity
 from .common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -55,9 +55,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_personal_data, op3_length_packing, op4_media_columns, op5_token_files, op6_substring_dedup, op7_near_duplicates, op8_decontamination, op9_language, op10_toxicity)
+    for f in (
+        op1_token_counts, op2_personal_data, op3_length_packing, op4_media_columns, op5_token_files, op6_substring_dedup, op7_near_duplicates, op8_decontamination, op9_language,
+        op10_toxicity, op11_importance_resampling, op12_conversation_trie, op13_simhash,
+    )
 }
-#: These results need hashing, trained models, tokenizers or files, which SQL cannot express; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others need hashing, trained models, tokenizers or files, which SQL cannot express; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op11_importance_resampling": sql.RESAMPLING, "op12_conversation_trie": sql.TRIE}
