@@ -29,13 +29,13 @@ def scaling_error(predicted: Column, truth: Column) -> Column:
     return (predicted != 0) & (truth != 0) & close
 
 
-def classify(predicted: Column, status: Column, truth: Column, unit: Column, other_values: Column) -> Column:
-    """The outcome of a cell; other_values: what the company reported for other periods."""
+def classify(predicted: Column, status: Column, truth: Column, unit: Column, other_period: Column) -> Column:
+    """The outcome of a cell; other_period: whether the company reported the predicted value for another period."""
     return (
         F.when(predicted.isNull(), F.when(status.isin(*UNPARSED), "parse_error").otherwise("not_found"))
         .when(values_agree(predicted, truth, unit), "correct")
         .when(scaling_error(predicted, truth), "scaling_error")
-        .when(F.coalesce(F.exists(other_values, lambda v: values_agree(predicted, v, unit)), F.lit(False)), "wrong_period")
+        .when(other_period, "wrong_period")
         .otherwise("wrong_row")
     )
 

@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import classify, values_agree
-
-
-def other_period_values(all_periods: DataFrame) -> DataFrame:
-    """(cik, field, periods): a company's values of a field, a few for each year, with their ends."""
-    return all_periods.groupBy("cik", "field").agg(F.collect_list(F.struct("period_end", "value")).alias("periods"))
-
-
-def near_other_period(df: DataFrame, keys: list[str], period: str, value: str, unit: Column) -> DataFrame:
-    """`df` with other_period: whether a row of the same keys and another period has a value that agrees.
-
-    Rows are sorted by value. Of the others the nearest above and below agree best, so only neighbours are
-    compared: the last value before and the first after the run of rows of one period.
-    """
-    w = Window.partitionBy(*keys).orderBy(value, period)
-    before, after = F.lag(period).over(w), F.lead(period).over(w)
-    rows = df.withColumn("_first", ~before.eqNullSafe(F.col(period))).withColumn("_last", ~after.eqNullSafe(F.col(period)))
-    rows = rows.withColumn("_below", F.when(F.col("_first"), F.lag(value).over(w))).withColumn("_above", F.when(F.col("_last"), F.lead(value).over(w)))
-    rows = rows.withColumn("_run", F.sum(F.col("_first").cast("long")).over(w))
-    run = Window.partitionBy(*keys, "_run")
-    near = [F.coalesce(values_agree(F.col(value), f(c).over(run), unit), F.lit(False)) for f, c in ((F.max, "_below"), (F.min, "_above"))]
-    return rows.withColumn("other_period", near[0] | near[1]).drop("_first", "_last", "_below", "_above", "_run")
+from ..functions.scoring import classify
+from .nearby import with_other_period
 
 
 def score(predictions: DataFrame, truth: DataFrame, all_periods: DataFrame, method: str | None = None, methods: tuple[str, ...] = ()) -> DataFrame:
@@ -42,9 +22,8 @@ def score(predictions: DataFrame, truth: DataFrame, all_periods: DataFrame, meth
     cells = cells.withColumn("status", F.coalesce("status", F.lit("not_attempted")))
     if method:
         cells = cells.withColumn("method", F.coalesce("method", F.lit(method)))
-    cells = cells.join(other_period_values(all_periods), ["cik", "field"], "left")
-    others = F.transform(F.filter("periods", lambda p: p["period_end"] != F.col("report_date")), lambda p: p["value"])
-    out = cells.withColumn("outcome", classify(F.col("predicted"), F.col("status"), F.col("true_value"), F.col("unit"), others)).drop("periods")
+    cells = with_other_period(cells, all_periods, ["cik", "field"], "report_date", "predicted", F.col("unit"), "_past", "period_end", "value")
+    out = cells.withColumn("outcome", classify(F.col("predicted"), F.col("status"), F.col("true_value"), F.col("unit"), F.col("_past"))).drop("_past")
     return out.withColumn("correct", F.col("outcome") == "correct")
 
 

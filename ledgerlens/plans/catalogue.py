@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import captions, figures, headers, scoring
 from ..functions.fields import Field, first_match, matches_any
-from ..operators import hybrid, labels, model, score, split, stats
+from ..operators import hybrid, labels, model, nearby, score, split, stats
 from ..sources import html, readers
 from ..streaming import ingest
 from . import report
@@ -447,8 +447,20 @@ def price_lookup(spark, d):
 @query("""select l_orderkey, l_linenumber, exists (select 1 from lineitem o where o.l_partkey = l.l_partkey and (o.l_orderkey <> l.l_orderkey) and abs(l.l_extendedprice - o.l_extendedprice) / o.l_extendedprice <= 0.005) as other_period from lineitem l""")
 def wrong_period_exists(spark, d):
     line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    near = score.near_other_period(line, ["l_partkey"], "l_orderkey", "l_extendedprice", F.lit("USD"))
-    return near.select("l_orderkey", "l_linenumber", F.col("other_period"))
+    return nearby.with_other_period(line, line, ["l_partkey"], "l_orderkey", "l_extendedprice", F.lit("USD")).select("l_orderkey", "l_linenumber", "other_period")
+
+
+@query(f"""with v as (select l_orderkey as o, l_linenumber as n, l_partkey as p, l_discount * l_tax * (case when l_linenumber % 3 = 0 then -1 else 1 end) as money, l_quantity % 5 / 100 as per_share from lineitem)
+select o as l_orderkey, n as l_linenumber, exists (select 1 from v x where x.p = v.p and x.o <> v.o and {_agree("v.money", "x.money")}) as other_period,
+exists (select 1 from v x where x.p = v.p and x.o <> v.o and (abs(v.per_share - x.per_share) <= 0.005 or {_agree("v.per_share", "x.per_share")})) as other_share from v""")
+def wrong_period_near_zero(spark, d):
+    """Zeros, values under the absolute tolerance and of either sign, and values per share."""
+    line = t(spark, d, "lineitem")
+    money = F.col("l_discount") * F.col("l_tax") * F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(1)
+    rows = line.select("l_orderkey", "l_linenumber", "l_partkey", money.alias("money"), (F.col("l_quantity") % 5 / 100).alias("per_share"))
+    one = nearby.with_other_period(rows, rows, ["l_partkey"], "l_orderkey", "money", F.lit("USD"))
+    two = nearby.with_other_period(one, rows, ["l_partkey"], "l_orderkey", "per_share", F.lit("USD/shares"), "other_share")
+    return two.select("l_orderkey", "l_linenumber", "other_period", "other_share")
 
 
 @query(f"""select l_orderkey, l_linenumber, {_scaled('(l_extendedprice * pow(10, l_partkey % 11 - 5))', '(l_extendedprice * (1 + l_discount / 20))')} as is_scaling_error from lineitem where l_extendedprice > 0""")

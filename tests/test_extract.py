@@ -191,9 +191,9 @@ def test_preamble_counts_text_once_or_as_elements_too():
     [(100.4, 100.0, "USD", "correct"), (1.004, 1.0, "USD/shares", "correct"), (0.001, 0.0, "USD", "correct"), (1e5, 100.0, "USD", "scaling_error"), (1e6, 100.0, "USD", "wrong_row"), (-1e5, 100.0, "USD", "wrong_row"), (80.0, 100.0, "USD", "wrong_period"), (None, 1.0, "USD", "not_found")],
 )
 def test_outcomes(spark, p, v, unit, want):
-    got = one(spark, scoring.classify(F.lit(p).cast("double"), F.lit("ok"), F.lit(v), F.lit(unit), F.array(F.lit(80.0))))
+    got = one(spark, scoring.classify(F.lit(p).cast("double"), F.lit("ok"), F.lit(v), F.lit(unit), F.lit(p == 80.0)))
     assert got == want
-    assert one(spark, scoring.classify(F.lit(None).cast("double"), F.lit("no_value_in_row"), F.lit(v), F.lit(unit), F.lit(None).cast("array<double>"))) == "parse_error"
+    assert one(spark, scoring.classify(F.lit(None).cast("double"), F.lit("no_value_in_row"), F.lit(v), F.lit(unit), F.lit(False))) == "parse_error"
 
 
 def test_wilson(spark):
