@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+import time
 from functools import partial
 
 import pytest
@@ -72,6 +74,33 @@ def test_densest_window_takes_the_first_best(spark):
     assert got == text[best : best + 25]
 
 
+def plain_start(text, budget, stride, words):
+    low = text.lower()
+    starts = range(0, max(len(text) - budget, 0) + 1, stride)
+    return max(starts, key=lambda s: (sum(low[s : s + budget].count(w) for w in words), -s))
+
+
+def test_densest_window_of_words_that_overlap(spark):
+    rng = random.Random(1)
+    words = ("aa", "aba", "ab", "b", "net", "İ".lower(), "banana b")
+    texts = ["".join(rng.choice(["a", "b", "A", "net ", "c", "İ", "banana b", "é"]) for _ in range(rng.randrange(400))) for _ in range(120)]
+    for budget, stride in ((30, 7), (31, 40), (1, 1), (500, 3)):
+        assert [model.densest_start(t, budget, stride, words) for t in texts] == [plain_start(t, budget, stride, words) for t in texts]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "k int, t string")
+    got = {r.k: r.w for r in df.select("k", model.densest_window(F.col("t"), 30, 7, words).alias("w")).collect()}
+    assert got == {k: t[(s := plain_start(t, 30, 7, words)) : s + 30] for k, t in enumerate(texts)} | {len(texts): None, len(texts) + 1: ""}
+
+
+def test_densest_window_is_linear():
+    one = ("word net sales of the year, total assets and " * 24_000)[:1_000_000]
+    took = []
+    for n in (1, 4):
+        began = time.monotonic()
+        model.densest_start(one * n, 1_000_000, 200, model.VOCABULARY)
+        took.append(time.monotonic() - began)
+    assert took[1] < 2 and took[1] < 12 * took[0]
+
+
 def test_retries():
     calls, waits = [], []
 
