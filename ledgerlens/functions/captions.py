@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scale phrases and what makes one not about money; statement titles without blanks.
+from .columns import once
+
+# Scale phrases and what makes one not about money; statement titles without blanks, all in one
+# pattern, so that one search finds the last title whatever it names.
 SCALE = r"(?i)([a-z ]{0,24}?)\bin\s+(thousands?|millions?|billions?)\b"
 CAPTION_SCALE = r"(?i)([a-z ]{0,24}?)\b(?:in\s+)?(thousands?|millions?|billions?)\b"
 NOT_MONEY = r"(?i)(share|unit|ounce|barrel|tonne|ton|gallon|pound|euro)s?\s*,?\s*$"
@@ -16,10 +19,16 @@ NOTE_LANGUAGE = r"(?i)(the following tables?|reconcil|summari[sz]|disaggregat|by
 
 
 def _scale(text: Column, pattern: str) -> Column:
-    """The factor of the first phrase about money, or null."""
-    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda q, w: F.struct(q.alias("q"), F.lower(w).alias("w")))
-    word = F.get(F.filter(found, lambda x: ~x["q"].rlike(NOT_MONEY)), 0)["w"]
-    return F.when(word.startswith("thousand"), 1_000).when(word.startswith("million"), 1_000_000).when(word.startswith("billion"), 1_000_000_000).cast("long")
+    """The factor of the first phrase about money, or null. Texts without any of the words are not searched for phrases."""
+
+    def first(text: Column) -> Column:
+        found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda q, w: F.struct(q.alias("q"), F.lower(w).alias("w")))
+        return F.get(F.filter(found, lambda x: ~x["q"].rlike(NOT_MONEY)), 0)["w"]
+
+    low = F.lower(text)
+    named = low.contains("thousand") | low.contains("million") | low.contains("billion")
+    factor = lambda w: F.when(w.startswith("thousand"), 1_000).when(w.startswith("million"), 1_000_000).when(w.startswith("billion"), 1_000_000_000).cast("long")
+    return F.when(named, once(first(text), factor))
 
 
 def caption_scale(preamble: Column) -> Column:
@@ -33,15 +42,18 @@ def rows_scale(rows: Column) -> Column:
 
 
 def table_scale(preamble: Column, rows: Column) -> Column:
-    s = caption_scale(preamble)
-    return F.when(s == 1, rows_scale(rows)).otherwise(s)
+    return once(caption_scale(preamble), lambda s: F.when(s == 1, rows_scale(rows)).otherwise(s))
+
+
+def statement_in(squeezed: Column) -> Column:
+    """The statement that the last title in a text without blanks names, or null."""
+    title = F.lower(F.try_element_at(F.regexp_extract_all(squeezed, F.lit(TITLES), F.lit(0)), F.lit(-1)))
+    return once(title, lambda t: F.when(t.rlike("cashflows?$"), "cash_flow").when(t.rlike("balancesheets?$|financialposition$"), "balance_sheet").when(t.isNotNull(), "income_statement"))
 
 
 def statement_of(text: Column) -> Column:
     """The statement that the last title in a text names, or null. Blanks do not count."""
-    title = F.lower(F.element_at(F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s+", ""), F.lit(TITLES), F.lit(0)), F.lit(-1)))
-    title = F.when(F.regexp_replace(text, r"(?U)\s+", "").rlike(TITLES), title)
-    return F.when(title.rlike("cashflows?$"), "cash_flow").when(title.rlike("balancesheets?$|financialposition$"), "balance_sheet").when(title.isNotNull(), "income_statement")
+    return statement_in(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
 def is_interim(rows: Column) -> Column:

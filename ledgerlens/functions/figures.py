@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import once
+
 # What counts as a figure, and the marks that are no cell of their own.
 NUMBER = r"^\(?-?\$?\s*\d[\d,]*(\.\d+)?\)?$"
 NO_FIGURE = ("", "$")
@@ -28,15 +30,16 @@ def stripped(c: Column) -> Column:
 
 def clean_cell(c: Column) -> Column:
     """Blanks joined, typographic quotes plain, a long dash blank, short dashes hyphens."""
+    # What each typographic mark reads as.
     plain = F.translate(c, "\u00a0\u2019\u2018\u2014\u2013\u2212", " '' --")
     return stripped(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
 def parse_figure(c: Column) -> Column:
     """The number that a token prints, or null. Only a pair of parentheses negates; (-5) is thus 5."""
-    t = stripped(c)
-    bare = F.regexp_replace(t, r"[(),$\s]", "").try_cast("double")
-    return F.when(t.rlike(NUMBER), F.when(t.startswith("(") & t.endswith(")"), -bare).otherwise(bare))
+    bare = F.regexp_replace(c, r"(?U)[(),$\s]", "").try_cast("double")
+    figure = r"^(?U:\s*)" + NUMBER[1:-1] + r"(?U:\s*)$"
+    return F.when(c.rlike(figure), F.when(c.rlike(r"(?sU)^\s*\(.*\)\s*$"), -bare).otherwise(bare))
 
 
 def join_split_cells(cells: Column, dash_as_zero: bool = False) -> Column:
@@ -44,7 +47,6 @@ def join_split_cells(cells: Column, dash_as_zero: bool = False) -> Column:
     present = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
     if dash_as_zero:
         present = F.transform(present, lambda c: F.when(stripped(c).isin("-", "–", "—"), F.lit("0")).otherwise(c))
-    tokens = F.filter(present, lambda c: ~c.isin(*NO_FIGURE))
     none = F.array().cast("array<string>")
 
     def put(done: Column, x: Column) -> Column:
@@ -57,7 +59,8 @@ def join_split_cells(cells: Column, dash_as_zero: bool = False) -> Column:
             .otherwise(F.concat(done, F.array(x)))
         )
 
-    return F.aggregate(tokens, none, put)
+    split = lambda tokens: F.array_contains(tokens, "(") | F.array_contains(tokens, ")")
+    return once(F.filter(present, lambda c: ~c.isin(*NO_FIGURE)), lambda tokens: F.when(split(tokens), F.aggregate(tokens, none, put)).otherwise(tokens))
 
 
 def row_figures(cells: Column, dash_as_zero: bool = False) -> Column:

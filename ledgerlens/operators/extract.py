@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import captions, figures, headers
+from ..functions.columns import once
 from ..functions.fields import FIELDS, Field, first_match, matches_any
 
 # Words that mark a statement's rows, least scores, what is no section heading.
@@ -31,10 +32,14 @@ def table_features(tables: DataFrame, dash_as_zero: bool = False) -> DataFrame:
     out = out.withColumn("labels", F.transform("rows", figures.row_label))
     heading = lambda label, k: F.when((label != "") & (F.size(F.get("figures", k)) == 0) & ~label.rlike(CAPTION_LIKE) & ~label.rlike(HEADER_LIKE), label)
     out = out.withColumn("_own", F.transform("labels", heading))
-    none = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all"))
-    carried = F.aggregate("_own", none, lambda s, x: F.struct(F.coalesce(x, s["last"]).alias("last"), F.concat(s["all"], F.array(F.coalesce(x, s["last"]))).alias("all")), lambda s: s["all"])
+    def carried(own: Column) -> Column:
+        """Each heading as often as there are rows until the next one; no list is copied for a row."""
+        places = F.filter(F.sequence(F.lit(0), F.size(own)), lambda k: (k < F.size(own)) & F.get(own, k).isNotNull())
+        below = lambda at: F.transform(at, lambda k, i: F.array_repeat(F.get(own, k), F.coalesce(F.get(at, i + 1), F.size(own)) - k))
+        return once(places, lambda at: F.flatten(F.concat(F.array(F.array_repeat(F.lit(""), F.coalesce(F.get(at, 0), F.size(own)))), below(at))))
+
     return (
-        out.withColumn("headings", carried)
+        out.withColumn("headings", once(F.col("_own"), carried))
         .withColumn("dates", headers.header_dates(F.col("rows")))
         .withColumn("years", headers.header_years(F.col("rows")))
         .withColumn("comparative", F.size(F.filter("figures", lambda v: F.size(v) >= 2)))
@@ -67,21 +72,24 @@ def _hits(f: Field, t: Column) -> Column:
     vetoed = lambda r: matches_any(r["label"], f.exclude_patterns) | ((r["heading"] != "") & matches_any(r["heading"], f.section_exclude_patterns))
     usable = F.filter(rows, lambda r: (F.size(r["figures"]) > 0) & ~vetoed(r))
     made = lambda priority, r, label: F.struct(priority.alias("priority"), r["row"].alias("row"), label.alias("label"), r["figures"].alias("figures"))
-    named = F.filter(F.transform(F.filter(usable, lambda r: r["label"] != ""), lambda r: made(first_match(r["label"], f.row_patterns), r, r["label"])), lambda h: h["priority"].isNotNull())
+    ranked = lambda rows: F.filter(rows, lambda h: h["priority"].isNotNull())
+    named = lambda usable: ranked(F.transform(F.filter(usable, lambda r: r["label"] != ""), lambda r: made(first_match(r["label"], f.row_patterns), r, r["label"])))
     if not f.section_patterns:
-        return F.array_sort(named)
+        return F.array_sort(named(usable))
     n = len(f.row_patterns)
-    below = F.filter(F.transform(F.filter(usable, lambda r: r["heading"] != ""), lambda r: made(first_match(r["heading"], f.section_patterns) + n, r, F.concat(F.lit("[section] "), r["heading"]))), lambda h: h["priority"].isNotNull())
-    first = F.filter(below, lambda h: ~F.exists(below, lambda x: (x["label"] == h["label"]) & (x["row"] < h["row"])))
-    return F.array_sort(F.when(F.size(named) > 0, named).otherwise(first))
+    below = lambda usable: ranked(F.transform(F.filter(usable, lambda r: r["heading"] != ""), lambda r: made(first_match(r["heading"], f.section_patterns) + n, r, F.concat(F.lit("[section] "), r["heading"]))))
+    first = lambda rows: once(rows["label"], lambda names: F.transform(F.array_distinct(names), lambda x: F.get(rows, (F.array_position(names, x) - 1).cast("int"))))
+    return F.array_sort(once(usable, lambda u: once(named(u), lambda found: F.when(F.size(found) > 0, found).otherwise(once(below(u), first)))))
 
 
-def _answer(f: Field, t: Column, period: Column) -> Column:
-    column = headers.resolve_column(t["dates"], t["years"], period)
-    hits = _hits(f, t)
-    value = lambda h: F.get(h["figures"], column["index"]) * (t["scale"] if f.scaled else F.lit(1))
+def _viable(f: Field, hits: Column, column: Column, scale: Column) -> Column:
+    """Hits whose figure in the period's column is one that the field can have."""
+    value = lambda h: F.get(h["figures"], column["index"]) * (scale if f.scaled else F.lit(1))
     fits = lambda v: (F.abs(v) <= PER_SHARE_MOST) if f.unit == "USD/shares" else F.lit(True) if f.negative_ok else (v >= 0)
-    viable = F.filter(F.transform(hits, lambda h: F.struct(h["label"].alias("label"), value(h).alias("value"))), lambda x: x["value"].isNotNull() & fits(x["value"]))
+    return F.filter(F.transform(hits, lambda h: F.struct(h["label"].alias("label"), value(h).alias("value"))), lambda x: x["value"].isNotNull() & fits(x["value"]))
+
+
+def _answer(f: Field, t: Column, column: Column, hits: Column, viable: Column) -> Column:
     best = F.get(viable, 0)
     found = column["index"].isNotNull()
     status = (
@@ -104,11 +112,16 @@ def extract(prepared: DataFrame, periods: DataFrame, fields: list[Field] = FIELD
     """One row for each document of `periods` (doc_id, report_date) and field.
 
     prepared: doc_id and tables (see schemas.PREPARED). A document without tables gets
-    statement_not_found; tables without rows, or with null cells, are allowed.
+    statement_not_found; tables without rows, or with null cells, are allowed. Columns, hits and values are
+    projections of their own, each read more than once by the next, so that none is merged into it.
     """
     tables = prepared.select("doc_id", F.inline("tables")).where("rows is not null")
     picked = pick_statements(table_features(tables, dash_as_zero))
     by_statement = picked.groupBy("doc_id").pivot("wanted", list(ANCHORS)).agg(F.first("table"))
     wide = periods.select("doc_id", "report_date").join(by_statement, "doc_id", "left")
-    answers = F.array(*[_answer(f, F.col(f.statement), F.col("report_date")) for f in fields])
+    n = range(len(fields))
+    wide = wide.withColumns({f"_column_{s}": headers.resolve_column(F.col(s)["dates"], F.col(s)["years"], F.col("report_date")) for s in ANCHORS} | {f"_hits_{k}": _hits(fields[k], F.col(fields[k].statement)) for k in n})
+    at = lambda k: F.col(f"_column_{fields[k].statement}")
+    wide = wide.withColumns({f"_viable_{k}": _viable(fields[k], F.col(f"_hits_{k}"), at(k), F.col(fields[k].statement)["scale"]) for k in n})
+    answers = F.array(*[_answer(fields[k], F.col(fields[k].statement), at(k), F.col(f"_hits_{k}"), F.col(f"_viable_{k}")) for k in n])
     return wide.select("doc_id", F.inline(answers)).withColumn("method", F.lit("rules"))

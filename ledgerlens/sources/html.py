@@ -183,7 +183,7 @@ def prepare(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", on
     ready = pages.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), tagged_figures(html).alias("ix_facts_removed"), F.length(html).cast("long").alias("raw_chars"), strip_markup(html).alias("stripped"))
     ready = ready.withColumn("stripped_chars", F.length("stripped").cast("long")).select("doc_id", "ix_facts_removed", "raw_chars", "stripped_chars", "stripped")
     parsed = ready.mapInArrow(run, "doc_id string, ix_facts_removed long, raw_chars long, stripped_chars long, text string, found array<struct<index:int,rows:array<array<string>>,preamble:string,wide:string>>")
-    table = lambda t: F.struct(t["index"].alias("index"), t["rows"].alias("rows"), t["preamble"].alias("preamble"), F.coalesce(captions.statement_of(t["preamble"]), captions.statement_of(t["wide"])).alias("statement"), captions.table_scale(t["preamble"], t["rows"]).alias("scale"))
+    table = lambda t: F.struct(t["index"].alias("index"), t["rows"].alias("rows"), t["preamble"].alias("preamble"), captions.statement_in(F.replace(t["wide"], F.lit(" "), F.lit(""))).alias("statement"), captions.table_scale(t["preamble"], t["rows"]).alias("scale"))
     return parsed.withColumn("tables", F.transform("found", table)).drop("found")
 
 
