@@ -6,7 +6,9 @@ are Column expressions around it. Broken markup is read as the standard library'
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -99,11 +101,63 @@ class _Tree(HTMLParser):
             self.order.append(data)
 
 
+_ATTRIBUTES = r"""(?:[ \t\n\r\f]+[^\s"'<>/=\x00]+(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`/\x00]++(?!/)))?)*[ \t\n\r\f]*"""
+#: A run of text, a tag with well-formed attributes, an element whose content is no markup and has none, a
+#: comment or a declaration; anything else is for the standard parser.
+_TOKEN = re.compile(
+    rf"""(?P<text>[^<]+)
+    |<(?!(?i:script|style|textarea|title|iframe|noembed|noframes|noscript|plaintext|xmp)[\t\n\r\f />])(?P<start>[a-zA-Z][^\t\n\r\f />\x00]*){_ATTRIBUTES}(?P<empty>/?)>
+    |</(?P<end>[a-zA-Z][^\t\n\r\f />\x00]*)[ \t\n\r\f]*>
+    |<(?P<raw>(?i:script|style|title|textarea))(?=[\t\n\r\f >]){_ATTRIBUTES}>(?P<inside>[^<]*)</(?P=raw)[ \t\n\r\f]*>
+    |<!--(?!-?>)(?:(?!--)[^\x00])*-->
+    |<![dD][oO][cC][tT][yY][pP][eE][^<>\[\]"'\x00]*>""".replace("\n    |", "|"),
+)
+
+
+def _tokens(html: str) -> list[re.Match] | None:
+    """The page's tokens, or None if it is not made of well-formed ones only."""
+    at, out = 0, []
+    for m in _TOKEN.finditer(html):
+        if m.start() != at:
+            return None
+        at = m.end()
+        out.append(m)
+    return out if at == len(html) else None
+
+
+def read_page(html: str, into: HTMLParser) -> None:
+    """Gives `into` the events that its own feed() would, by one regular expression where the page is plain."""
+    tokens = _tokens(html)
+    if tokens is None:
+        into.feed(html)
+        into.close()
+        return
+    start, end, data = into.handle_starttag, into.handle_endtag, into.handle_data
+    for m in tokens:
+        kind = m.lastgroup
+        if kind == "text":
+            text = m[0]
+            data(unescape(text) if "&" in text else text)
+        elif kind == "empty":
+            tag = m["start"].lower()
+            start(tag, [])
+            if m["empty"]:
+                end(tag)
+        elif kind == "end":
+            end(m["end"].lower())
+        elif kind == "inside":
+            tag, text = m["raw"].lower(), m["inside"]
+            start(tag, [])
+            if text:
+                data(unescape(text) if tag in ("title", "textarea") else text)
+            end(tag)
+
+
 _PLAIN = str.maketrans({"\u00a0": " ", "\u2019": "'", "\u2018": "'", "\u2014": " ", "\u2013": "-", "\u2212": "-"})
 
 
 def _clean(text: str) -> str:
-    return " ".join(text.translate(_PLAIN).split())
+    return " ".join((text if text.isascii() else text.translate(_PLAIN)).split())
 
 
 def _told(order: list, once: bool) -> list[str]:
@@ -115,15 +169,15 @@ def _told(order: list, once: bool) -> list[str]:
     return [_clean(t) if t else "" for t in texts]
 
 
-def _before(told: list[str], k: int, most: int) -> str:
-    """The text above order[k], at most its last `most` letters."""
-    parts, n = [], 0
-    while k > 0 and n < most:
-        k -= 1
-        if told[k]:
-            parts.append(told[k])
-            n += len(told[k])
-    return " ".join(reversed(parts))[-most:]
+def _above(told: list[str], places: list[int], most: int) -> Iterator[str]:
+    """For each place the text above it, at most its last `most` letters: slices of all text joined once."""
+    joined = " ".join(t for t in told if t)
+    at, done = 0, 0
+    for k in places:
+        for t in told[done:k]:
+            at += len(t) + 1 if t else 0
+        done = k
+        yield joined[max(0, at - 1 - most) : max(0, at - 1)]
 
 
 def _inside(x: _Node, table: _Node) -> bool:
@@ -135,12 +189,11 @@ def _inside(x: _Node, table: _Node) -> bool:
 
 def parse_page(html: str | None, once: bool = False) -> dict:
     tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    read_page(html or "", tree)
     found = []
     places = [k for k, x in enumerate(tree.order) if not isinstance(x, str) and x.tag == "table"]
     told = _told(tree.order, once) if places else []
-    for index, k in enumerate(places):
+    for index, (k, wide) in enumerate(zip(places, _above(told, places, TITLE_WINDOW), strict=True)):
         table, rows, waiting = tree.order[k], [], [tree.order[k]]
         while waiting:
             x = waiting.pop()
@@ -157,7 +210,6 @@ def parse_page(html: str | None, once: bool = False) -> dict:
                     rows.append(cells)
             waiting.extend(reversed([y for y in x.kids if not isinstance(y, str) and y.tag != "table"]))
         if rows:
-            wide = _before(told, k, TITLE_WINDOW)
             found.append({"index": index, "rows": rows, "preamble": wide[-PREAMBLE:], "wide": wide})
     lines = [" ".join(x.split()) for x in tree.order if isinstance(x, str)]
     return {"text": "\n".join(x for x in lines if x), "tables": found}

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +202,36 @@ def test_wilson(spark):
     low, high = scoring.wilson(F.lit(154), F.lit(160))
     assert (one(spark, low), one(spark, high)) == pytest.approx((0.9206091783691167, 0.982702312729603), abs=1e-12)
     assert one(spark, scoring.wilson(F.lit(0), F.lit(0))[0]) is None
+
+
+class _Events(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.seen = []
+
+    def handle_starttag(self, tag, attrs):
+        self.seen.append(("start", tag))
+
+    def handle_endtag(self, tag):
+        self.seen.append(("end", tag))
+
+    def handle_data(self, data):
+        self.seen.append(("data", data))
+
+
+def test_plain_pages_read_as_the_standard_parser_reads_them():
+    rng = random.Random(2)
+    parts = [
+        "<p>", "</p>", "<TD class='a b' x=1 y>", "</Td >", "<br/>", "<br />", "<img src=\"a>b\" alt='<'/>", "text ", "a &amp; b", "&nbsp", "&#8212;&lt", "<!-- c > -->", "<!DOCTYPE html>", "\n", "é 漢",
+        "<", "a < b", "<a href=x/>", "</>", "<!-->", "<!-- a -- b -->", "<?pi x?>", "<script>if (a<b) </script>", "<style>x", "<title>T</title>", "<td", "<p a=\"1\"b>", "<![CDATA[x]]>", "</p x>", "<ix:a k=v>", "<p / a>", "<title>a &amp; b</title>", "<TITLE x='1'>b</TITLE>", "<title></title>", "<style>p { a: b & c }</style>", "<Script>x &lt; y</Script >", "<script>x</SCRIPT>", "<scripted>", "<textarea>\n x</textarea>", "<title/>", "<style />", "<xmp>a</xmp>", "<x\x0by>", "<p a\x0bb=1>",
+    ]
+    plain = 0
+    for k in range(4000):
+        page = "".join(rng.choice(parts[: 15 if k % 2 else len(parts)]) for _ in range(rng.randrange(12)))
+        one, two = _Events(), _Events()
+        html.read_page(page, one)
+        two.feed(page)
+        two.close()
+        assert one.seen == two.seen, page
+        plain += html._tokens(page) is not None
+    assert plain > 1000
