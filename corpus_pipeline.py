@@ -11,24 +11,27 @@ from ledgerlens.llm.queries import WORDS
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier rejects go; it is fitted on the labels outside the held-out fold."""
+    """Rows whose text the classifier rejects go; it is fitted on the labels outside the held-out fold.
+
+    Null and empty texts are scored as texts without a telling word and stay; rows that repeat a text go or stay together.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that with the smallest doc_id, one without an id only if no other is there.
+    """One row of each near-duplicate component stays: that with the smallest doc_id, one without an id only if no other is there.
 
-    Every row is compared by its own text, whatever its id. Rows that repeat both the id and the text of
-    the one that stays, stay with it; of rows without an id one stays.
+    Every row is compared by its own text, whatever its id. Of rows that repeat the id that stays one stays, be their
+    texts equal or only near. Null and empty texts are near nothing and stay; no rows give no rows.
     """
     columns = docs.columns
     free = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in columns))  # names that no column of the user has
-    row, none, least_id, digest = (free + x for x in ("row", "none", "id", "hash"))
+    row, none = free + "row", free + "none"
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    keys = [F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", row).alias(least_id), F.xxhash64("text").alias(digest)]
     found = neardup.near_duplicates(docs, id_col=row).select(F.col("doc_id").alias(row), "component_id")
-    least = docs.select(row, *keys).join(found, row).groupBy("component_id").agg(F.min(F.struct(none, least_id, row, digest)).alias("k"))
-    return docs.select("*", *keys).join(least.select(f"k.{none}", f"k.{least_id}", f"k.{digest}"), [none, least_id, digest], "left_semi").select(columns)
+    keys = docs.select(row, F.col("doc_id").isNull().alias(none), "doc_id").join(found, row)
+    least = keys.groupBy("component_id").agg(F.min(F.struct(none, "doc_id", row)).alias("k"))
+    return docs.join(least.select(f"k.{row}"), row, "left_semi").select(columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; personal data in its text becomes [EMAIL], [IP], [CARD] or [PHONE], and n_chars follows."""
+    """Every document stays; personal data in its text becomes [EMAIL], [IP], [CARD] or [PHONE], and n_chars follows.
+
+    Null texts stay null, empty ones empty; rows that repeat an id or a text each keep theirs.
+    """
     redacted = pii.redact(docs)
     return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
 
