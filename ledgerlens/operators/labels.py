@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.fields import FIELDS, Field
 
 DAYS = (300, 400)
+#: Why a cell has no label.
+REASONS = ("no_concept_present", "no_fact_in_filing", "no_period_end_match", "no_annual_duration", "conflicting_values")
 
 
 def concept_table(spark: SparkSession, fields: list[Field] = FIELDS) -> DataFrame:

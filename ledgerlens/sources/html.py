@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import captions
 
 PREAMBLE, TITLE_WINDOW = 900, 3000
+#: Pages whose tables are held at once on their way out of a worker.
+PAGES = 16
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _DROPPED = {"script", "style", "sup"}
 
@@ -218,27 +220,24 @@ def parse_page(html: str | None, once: bool = False) -> dict:
 _TABLE = pa.struct([("index", pa.int32()), ("rows", pa.list_(pa.list_(pa.string()))), ("preamble", pa.string()), ("wide", pa.string())])
 
 
-def prepare(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", once: bool = False) -> DataFrame:
-    """Prepared documents (schemas.PREPARED without scale_phrase) of a table of pages. Null and empty pages have no table."""
-    conf = pages.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)  # pages can have ten megabytes and more: then one makes a batch
+def prepare(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html", once: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Prepared documents (schemas.PREPARED without scale_phrase) of a table of pages, with the columns of `carry` as they are.
+
+    Null and empty pages have no table. A batch of pages is one page if pages have megabytes.
+    """
+    names = ["doc_id", "ix_facts_removed", "raw_chars", "stripped_chars", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [parse_page(h, once) for h in batch.column("stripped").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([m["text"] for m in made], pa.string()), pa.array([m["tables"] for m in made], pa.list_(_TABLE))],
-                names=["doc_id", "ix_facts_removed", "raw_chars", "stripped_chars", "text", "found"],
-            )
+        for whole in batches:
+            for k in range(0, whole.num_rows, PAGES):
+                batch = whole.slice(k, PAGES)
+                made = [parse_page(h, once) for h in batch.column("stripped").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([m["text"] for m in made], pa.string()), pa.array([m["tables"] for m in made], pa.list_(_TABLE))], names=[*names, "text", "found"])
 
     html = F.col(f"`{html_col}`")
-    ready = pages.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), tagged_figures(html).alias("ix_facts_removed"), F.length(html).cast("long").alias("raw_chars"), strip_markup(html).alias("stripped"))
-    ready = ready.withColumn("stripped_chars", F.length("stripped").cast("long")).select("doc_id", "ix_facts_removed", "raw_chars", "stripped_chars", "stripped")
-    parsed = ready.mapInArrow(run, "doc_id string, ix_facts_removed long, raw_chars long, stripped_chars long, text string, found array<struct<index:int,rows:array<array<string>>,preamble:string,wide:string>>")
+    ready = pages.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), tagged_figures(html).alias("ix_facts_removed"), F.length(html).cast("long").alias("raw_chars"), strip_markup(html).alias("stripped"), *carry)
+    ready = ready.withColumn("stripped_chars", F.length("stripped").cast("long")).select(*names, "stripped")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name in carry)
+    parsed = ready.mapInArrow(run, f"doc_id string, ix_facts_removed long, raw_chars long, stripped_chars long, {kinds + ', ' if kinds else ''}text string, found array<struct<index:int,rows:array<array<string>>,preamble:string,wide:string>>")
     table = lambda t: F.struct(t["index"].alias("index"), t["rows"].alias("rows"), t["preamble"].alias("preamble"), captions.statement_in(F.replace(t["wide"], F.lit(" "), F.lit(""))).alias("statement"), captions.table_scale(t["preamble"], t["rows"]).alias("scale"))
-    return parsed.withColumn("tables", F.transform("found", table)).drop("found")
-
-
-def counters(prepared: DataFrame) -> DataFrame:
-    """One row: documents, their tables, and machine tags taken out."""
-    return prepared.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("tables")), F.lit(0)).cast("long").alias("tables"), F.coalesce(F.sum("ix_facts_removed"), F.lit(0)).cast("long").alias("ix_facts_removed"))
+    return parsed.withColumn("tables", F.transform("found", table)).drop("found").select(*[c for c in (*names[:4], "text", "tables", *carry)])

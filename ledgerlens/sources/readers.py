@@ -18,11 +18,25 @@ def raw_pages(spark: SparkSession, path: str, glob: str = "*.htm*") -> DataFrame
     return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), text.alias("html"), F.col("length").alias("doc_bytes"))
 
 
+#: Kinds of failure of a landed document, in the order in which they are told.
+FAILURES = ("missing", "ambiguous", "empty", "not_html")
+
+
 def document_status(index: DataFrame, pages: DataFrame) -> DataFrame:
-    """The index with doc_bytes and doc_status: ok, or the kind of failure: missing where no file was landed, empty where it has no byte."""
-    out = index.join(pages.select("doc_id", "doc_bytes"), "doc_id", "left")
-    status = F.when(F.col("doc_bytes").isNull(), "failed: missing").when(F.col("doc_bytes") == 0, "failed: empty").otherwise("ok")
-    return out.withColumn("doc_status", status).fillna(0, ["doc_bytes"])
+    """The index with doc_bytes and doc_status: ok, or failed with its kind.
+
+    missing: no file was landed; ambiguous: several files of one id; empty: no byte; not_html: no tag in it
+    (told only if `pages` has html). Every row of the index stays once.
+    """
+    plain = ~F.coalesce(F.max(F.col("html").rlike("<[a-zA-Z!/?]")), F.lit(False)) if "html" in pages.columns else F.lit(False)
+    landed = pages.groupBy("doc_id").agg(F.max("doc_bytes").alias("doc_bytes"), F.count("*").alias("_files"), plain.alias("_plain"))
+    out = index.join(landed, "doc_id", "left")
+    kind = F.when(F.col("_files").isNull(), "missing").when(F.col("_files") > 1, "ambiguous").when(F.col("doc_bytes") == 0, "empty").when(F.col("_plain"), "not_html")
+    return out.withColumn("doc_status", F.coalesce(F.concat(F.lit("failed: "), kind), F.lit("ok"))).drop("_files", "_plain").fillna(0, ["doc_bytes"])
+
+
+def failed(kind: str, status: str = "doc_status") -> F.Column:
+    return F.col(status) == f"failed: {kind}"
 
 
 def prepared_samples(spark: SparkSession, path: str) -> DataFrame:

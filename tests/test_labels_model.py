@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
-from ledgerlens.functions.fields import Field
+from ledgerlens.functions.fields import FIELDS, Field
 from ledgerlens.operators import hybrid, labels, model, score, split, stats
 from ledgerlens.plans import cli, report
 from ledgerlens.sources import readers
@@ -196,9 +196,11 @@ def test_all_stages_with_a_model(spark, tmp_path):
     got = sorted((r.method, r.run_label or "", r.outcome) for r in scored.where("field = 'revenue'").collect())
     assert got == [("hybrid", "run1", "correct"), ("hybrid", "run2", "correct"), ("llm", "run1", "correct"), ("llm", "run2", "correct"), ("rules", "", "not_found")]
     assert "seconds" not in scored.columns and spark.read.parquet(f"{tmp_path}/out/latency").count() == scored.count()
-    timings = {r.stage: r.seconds for r in spark.read.json(f"{tmp_path}/out/run_timings").collect()}
+    timings = {r.stage: r for r in spark.read.schema(cli.TIMINGS).json(f"{tmp_path}/out/run_timings").collect()}
     assert set(timings) == {*cli.STAGES, "total"}
-    assert spark.read.parquet(f"{tmp_path}/out/prepare_counters").first().asDict() == {"documents": 1, "tables": 0, "ix_facts_removed": 0}
+    assert timings["prepare"].seen == {"parsed": 1, "broken": 0, "tables": 0, "ix_facts_removed": 0} and timings["prepare"].failures == dict.fromkeys(readers.FAILURES, 0)
+    assert timings["rules"].failures["statement_not_found"] == len(FIELDS) and timings["rules"].rows == 2 * len(FIELDS) and timings["index"].bytes > 0
+    assert timings["labels"].failures["no_concept_present"] == len(FIELDS) - 1
     assert spark.read.parquet(f"{tmp_path}/out/predictions_rules").where("seconds <= 0").count() == 0
 
 
