@@ -23,7 +23,10 @@ def is_annual(start: Column, end: Column) -> Column:
 
 
 def concept_candidates(filings: DataFrame, facts: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(doc_id, field, position, concept, unit, value, reason) of each concept that the company has facts for.
+    """(cik, doc_id, field, position, concept, unit, value, reason) of each concept that the company has facts for.
+
+    Every grouping and join has the company among its keys: of tables laid out by company (readers.save_by_company) nothing is
+    shuffled, of others the facts once, and once more the distinct concepts of each company.
 
     In order: facts of the same filing, of its period end, of about a year (or, for instants, those
     without a start if there are any); different values are a conflict, else the first fact counts.
@@ -35,22 +38,22 @@ def concept_candidates(filings: DataFrame, facts: DataFrame, concepts: DataFrame
     annual = ends & is_annual(F.col("start"), F.col("end"))
     instant = ends & F.col("start").isNull()
     rounded = F.round("val", 6)
-    marked = own.groupBy("doc_id", *what).agg(
+    marked = own.groupBy("cik", "doc_id", *what).agg(
         F.count_if(ends).alias("n_ends"),
         F.count_if(annual).alias("n_annual"),
         F.count_if(instant).alias("n_instant"),
         *[(F.min(F.when(c, rounded)) < F.max(F.when(c, rounded))).alias(f"d_{n}") for n, c in (("annual", annual), ("instant", instant), ("ends", ends))],
         *[F.min_by(F.when(c, F.col("val")), F.when(c, F.col("ordinal"))).alias(f"v_{n}") for n, c in (("annual", annual), ("instant", instant), ("ends", ends))],
     )
-    tried = filings.select("doc_id", "cik").join(keyed.select("cik", *what).distinct(), "cik").drop("cik")
-    marked = tried.join(marked.withColumn("n_same", F.lit(1)), ["doc_id", *what], "left")
+    tried = filings.select("doc_id", "cik").join(keyed.select("cik", *what).distinct(), "cik")
+    marked = tried.join(marked.withColumn("n_same", F.lit(1)), ["cik", "doc_id", *what], "left")
     use = F.when(F.col("duration"), "annual").when(F.col("n_instant") > 0, "instant").otherwise("ends")
     pick = lambda k: F.when(use == "annual", F.col(f"{k}_annual")).when(use == "instant", F.col(f"{k}_instant")).otherwise(F.col(f"{k}_ends"))
     reason = (
         F.when(F.col("n_same").isNull(), "no_fact_in_filing").when(F.col("n_ends") == 0, "no_period_end_match").when(F.col("duration") & (F.col("n_annual") == 0), "no_annual_duration")
         .when(pick("d"), "conflicting_values").otherwise("ok")
     )
-    return marked.select("doc_id", "field", "position", "concept", "unit", reason.alias("reason"), F.when(reason == "ok", pick("v")).alias("value"))
+    return marked.select("cik", "doc_id", "field", "position", "concept", "unit", reason.alias("reason"), F.when(reason == "ok", pick("v")).alias("value"))
 
 
 def build_labels(filings: DataFrame, facts: DataFrame, fields: list[Field] = FIELDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,11 +61,11 @@ def build_labels(filings: DataFrame, facts: DataFrame, fields: list[Field] = FIE
     spark = filings.sparkSession
     tried = concept_candidates(filings, facts, concept_table(spark, fields))
     good = F.col("reason") == "ok"
-    best = tried.groupBy("doc_id", "field").agg(
+    best = tried.groupBy("cik", "doc_id", "field").agg(
         F.min_by(F.when(good, F.struct("concept", "unit", "value")), F.when(good, F.col("position"))).alias("best"), F.min_by("reason", "position").alias("reason")
     )
     wanted = filings.crossJoin(F.broadcast(spark.createDataFrame([(f.key,) for f in fields], "field string")))
-    cells = wanted.join(best, ["doc_id", "field"], "left")
+    cells = wanted.join(best, ["cik", "doc_id", "field"], "left")
     truth = cells.where("best is not null").select("doc_id", "cik", "company", "ticker", "report_date", "filing_date", "accession", "field", "best.concept", "best.unit", F.col("best.value").alias("true_value"))
     misses = cells.where("best is null").select("doc_id", "company", "report_date", "field", F.coalesce("reason", F.lit("no_concept_present")).alias("reason"))
     return truth, misses, coverage(filings, truth, len(fields))

@@ -28,7 +28,7 @@ TIMINGS = "stage string, seconds double, rows long, bytes long, failures map<str
 COST = ("input_tokens", "output_tokens", "usd")
 
 
-def run(stage: str, source: str, out: str, spark: SparkSession | None = None, runs: int = 3, make_provider: Callable[[], model.Provider] | None = None, settings: model.Settings | None = None, rates: dict[str, tuple[float | None, float | None]] | None = None) -> dict[str, float]:
+def run(stage: str, source: str, out: str, spark: SparkSession | None = None, runs: int = 3, make_provider: Callable[[], model.Provider] | None = None, settings: model.Settings | None = None, rates: dict[str, tuple[float | None, float | None]] | None = None, buckets: int = 16) -> dict[str, float]:
     """Seconds of each stage. runs: how often the model is asked, to see how its answers vary.
 
     Without a provider, `all` leaves the model out, earlier answers too, and the stage alone asks a stub. Pages that were parsed and
@@ -46,8 +46,9 @@ def run(stage: str, source: str, out: str, spark: SparkSession | None = None, ru
             index = readers.filing_index(readers.submissions(spark, f"{source}/submissions")).orderBy("company", "report_date")
             keep(index, "index")
         elif s == "labels":
-            facts = readers.company_facts(spark, f"{source}/facts")
-            truth, misses, covered = labels.build_labels(read("index"), facts)
+            facts = readers.save_by_company(readers.company_facts(spark, f"{source}/facts"), f"{out}/facts", buckets)
+            filings = readers.save_by_company(read("index"), f"{out}/filings", buckets)
+            truth, misses, covered = labels.build_labels(filings, facts)
             keep(truth, "truth")
             keep(misses, "misses", failures={k: F.col("reason") == k for k in labels.REASONS})
             keep(covered, "coverage")

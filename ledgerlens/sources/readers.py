@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
@@ -135,3 +136,16 @@ def save(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFr
     """Write a table as Parquet and read it back: later steps start from the files."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def save_by_company(df: DataFrame, path: str, buckets: int = 64, key: str = "cik") -> DataFrame:
+    """A table stored in buckets of companies, sorted in them, one file each: joins and groupings by company need no shuffle.
+
+    Tables that are used together need one number of buckets: so many that one fits a task. A company stays in one bucket; where
+    one has a large share of all rows, plain tables do better, whose joins Spark can split. Needs the settings of session.session.
+    """
+    spark = df.sparkSession
+    name = "by_company_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    spark.sql(f"drop table if exists {name}")
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)

@@ -61,6 +61,28 @@ def test_costs_join_by_run(spark):
     assert {r.seconds for r in score.attach_costs(s, s, per_run=False).collect()} == {2.0}
 
 
+def test_labels_of_tables_laid_out_by_company_shuffle_nothing(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(c, rng.choice(["A", "B", "C", "X"]), "USD", None if rng.random() < 0.4 else D(2023, 1, 1), rng.choice([D(2023, 12, 31), D(2022, 12, 31)]), float(rng.randrange(3)), f"a{c}-{rng.randrange(4)}", "10-K", 2023, "FY", k) for c in range(30) for k in range(rng.randrange(25))]
+    facts = spark.createDataFrame(rows, schemas.FACTS)
+    index = spark.createDataFrame([(c, f"n{c}", "t", "10-K", D(2024, 2, 1), rng.choice([D(2023, 12, 31), D(2022, 12, 31)]), f"a{c}-{k}", "x.htm", 1, f"d{c}-{k}") for c in range(32) for k in range(3)], schemas.FILINGS)
+    plain = [sorted(map(str, df.collect())) for df in labels.build_labels(index, facts, FIELD)]
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        facts, index = (readers.save_by_company(df, str(tmp_path / n), 4) for df, n in ((facts, "facts"), (index, "filings")))
+        made = labels.build_labels(index, facts, FIELD)
+        for df in made[:2]:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan and "SinglePartition" not in plan
+        assert [sorted(map(str, df.collect())) for df in made] == plain and plain[0] and plain[1]
+    finally:
+        spark.conf.set(setting, before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_replies(spark):
     replies = ['say {"a": "1,5$", "b": true} ok', '{"a": 2.5}', "{oops}", "[1]", None, '{"a": {"x": 1}, "b": "no"}']
     got = spark.createDataFrame([(r,) for r in replies], "reply string").select(model.parse_reply(F.col("reply"), ["a", "b"]).alias("p")).collect()
