@@ -7,10 +7,12 @@ filings and facts, events are a call log.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import captions, figures, headers, scoring
+from ..functions import figures, headers, scoring
 from ..functions.fields import Field, first_match, matches_any
 from ..operators import hybrid, labels, model, nearby, score, split, stats
 from ..sources import html, readers
@@ -86,27 +88,36 @@ def figures_in_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(v).cast("long").alias("n_figures"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-_TOKENS = ("1,234", "(565)", "(5", "5)", "-5", "(-5)", "$1,234.5", "($ 7)", "12%", "", "-", "abc", "1.2.3", "  42 ", "(1,000.25)", "0")
+@query("""select l_orderkey, l_linenumber, case (l_orderkey + l_linenumber) % 9 when 0 then p when 1 then -p when 2 then p when 3 then -p when 4 then p when 5 then -p when 8 then p end as figure
+from (select l_orderkey, l_linenumber, round(l_extendedprice, 2) as p from lineitem)""")
+def parse_figure_literals(spark, d):
+    """Prices printed as filings print figures: with commas, in parentheses, behind a dollar sign; a percentage and an empty cell are none."""
+    p, shape = F.format_number("l_extendedprice", 2), (F.col("l_orderkey") + F.col("l_linenumber")) % 9
+    bare = F.replace(p, F.lit(","), F.lit(""))
+    printed = [p, F.concat(F.lit("("), p, F.lit(")")), F.concat(F.lit("$ "), p), F.concat(F.lit("-"), bare), F.concat(F.lit("(-"), p, F.lit(")")), F.concat(F.lit("($"), p, F.lit(")")), F.concat(p, F.lit("%")), F.lit(""), F.concat(F.lit(" \u00a0"), p, F.lit("  "))]
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", figures.parse_figure(F.get(F.array(*printed), shape.cast("int"))).alias("figure"))
 
 
-@query(r"""select token, case when regexp_full_match(trim(token), '\(?-?\$?\s*[0-9][0-9,]*(\.[0-9]+)?\)?') then
-case when starts_with(trim(token), '(') and ends_with(trim(token), ')') then -1 else 1 end * try_cast(regexp_replace(trim(token), '[(),$\s]', '', 'g') as double) end as figure
-from (values """ + ", ".join(f"('{x}')" for x in _TOKENS) + ") v(token)")
-def parse_figure_literals(spark, d):
-    return spark.createDataFrame([(x,) for x in _TOKENS], "token string").select("token", figures.parse_figure(F.col("token")).alias("figure"))
+#: What a caption says, and the scale that it means (0: the table's own cells decide); titles and their statements.
+_CAPTIONS = (("(In millions, except share data)", 1_000_000), ("(in thousands)", 1_000), ("shares in thousands, dollars in millions", 1_000_000), ("no scale", 0), ("$ in billions of euros", 1_000_000_000), ("Shares in Thousands", 0))
+_TITLES = (("CONSOLIDATED STATEMENTS OF\nINCOME", "income_statement"), ("Consolidated  Balance Sheets", "balance_sheet"), ("consolidated statements of cash flows", "cash_flow"), ("Notes", None))
+_CELLS = (("Thousands", 1_000), ("of the year", 1), ("in million", 1_000_000))
 
 
-_CAPTIONS = ("(In millions, except share data)", "(in thousands)", "shares in thousands, dollars in millions", "Dollars and Shares in Millions", "no scale", "$ in billions of euros", "Amounts in Thousands and units in millions", "")
+def _cases(pairs, of: str) -> str:
+    return f"case {of} " + " ".join(f"when {k} then {v!r}" if isinstance(v, str) else f"when {k} then {v}" for k, (_, v) in enumerate(pairs) if v is not None) + " end"
 
 
-@query(r"""with c(caption) as (values """ + ", ".join(f"('{x}')" for x in _CAPTIONS) + r"""),
-m as (select caption, unnest(regexp_extract_all(lower(caption), '([a-z ]{0,24}?)\bin\s+(thousands?|millions?|billions?)\b', 1)) as q,
-unnest(regexp_extract_all(lower(caption), '([a-z ]{0,24}?)\bin\s+(thousands?|millions?|billions?)\b', 2)) as w,
-generate_subscripts(regexp_extract_all(lower(caption), '([a-z ]{0,24}?)\bin\s+(thousands?|millions?|billions?)\b', 2), 1) as k from c),
-f as (select caption, arg_min(w, k) as w from m where not regexp_matches(q, '(share|unit|ounce|barrel|tonne|ton|gallon|pound|euro)s?\s*,?\s*$') group by caption)
-select c.caption, cast(case when f.w like 'thousand%' then 1000 when f.w like 'million%' then 1000000 when f.w like 'billion%' then 1000000000 else 1 end as bigint) as scale from c left join f using (caption)""")
+@query(f"""select cast(page_id as varchar) as doc_id, cast(case when {_cases(_CAPTIONS, "page_id % 6")} > 0 then {_cases(_CAPTIONS, "page_id % 6")} else {_cases(_CELLS, "page_id // 6 % 3")} end as bigint) as scale,
+{_cases(_TITLES, "page_id // 18 % 4")} as statement, cast(2 as int) as n_rows from pages""")
 def scale_detect(spark, d):
-    return spark.createDataFrame([(x,) for x in _CAPTIONS], "caption string").select("caption", captions.caption_scale(F.col("caption")).alias("scale"))
+    """Scale and statement of a table that stands behind each page's own markup, prepared as any page is."""
+    pick = lambda pairs, of: F.get(F.array(*[F.lit(x) for x, _ in pairs]), of.cast("int"))
+    k = F.col("page_id")
+    caption, title, cell = pick(_CAPTIONS, k % 6), pick(_TITLES, F.floor(k / 18) % 4), pick(_CELLS, F.floor(k / 6) % 3)
+    made = F.concat(F.col("html"), F.lit("<div>"), title, F.lit("</div>\n<p>"), caption, F.lit("</p><table><tr><td>"), cell, F.lit("</td><td>1996</td></tr><tr><td>Total</td><td>7</td></table>"))
+    found = html.prepare(t(spark, d, "pages").select("page_id", made.alias("made")), "page_id", "made").select("doc_id", F.element_at("tables", -1).alias("t"))
+    return found.select("doc_id", "t.scale", "t.statement", F.size("t.rows").alias("n_rows"))
 
 
 @query("""with y as (select o_custkey, list(distinct cast(year(o_orderdate) as int) order by cast(year(o_orderdate) as int) desc) as years, max(o_orderkey) as k from orders group by o_custkey),
@@ -498,16 +509,79 @@ def render_and_prompt(spark, d):
     return rows.select("conv_id", model.render_table(F.col("c"), table).alias("prompt"))
 
 
-_REPLIES = ('{"a": 1, "b": "2,000.5"}', 'text {"a": true, "b": "$7"} more', "[1, 2]", "", "{broken", '{"b": null}', '{"a": "x", "b": 3e2}')
+#: Replies around an event's properties: plain, in prose, with other fields, or no object at all.
+_REPLY_SQL = """case event_id % 7 when 0 then props when 1 then 'The answer: ' || props || ' as asked' when 2 then '[1, 2]' when 3 then '{broken ' || props when 4 then '{"k": null, "b": "$1,0' || user_id % 90 + 10 || '.5"}' when 5 then '{"k": true, "b": "x"}' else '' end"""
 
 
-@query("""with r(reply) as (values """ + ", ".join(f"('{x}')" for x in _REPLIES) + r"""), j as (select reply, try_cast(nullif(regexp_extract(reply, '(?s)\{.*\}', 0), '') as json) as v from r),
-k as (select reply, v, json_type(v) = 'OBJECT' as ok from j),
-f as (select reply, coalesce(ok, false) as ok, case when json_type(v, '$.a') <> 'BOOLEAN' then v ->> '$.a' end as a, case when json_type(v, '$.b') <> 'BOOLEAN' then v ->> '$.b' end as b from k)
-select reply, case when ok then 'ok' else 'unparseable_response' end as status, try_cast(replace(replace(trim(a), ',', ''), '$', '') as double) as a, try_cast(replace(replace(trim(b), ',', ''), '$', '') as double) as b from f""")
+@query(r"""with j as (select event_id, try_cast(nullif(regexp_extract(reply, '(?s)\{.*\}', 0), '') as json) as v from (select event_id, """ + _REPLY_SQL + r""" as reply from events)),
+k as (select event_id, v, coalesce(json_type(v) = 'OBJECT', false) as ok from j),
+f as (select event_id, ok, case when json_type(v, '$.k') <> 'BOOLEAN' then v ->> '$.k' end as k, case when json_type(v, '$.b') <> 'BOOLEAN' then v ->> '$.b' end as b from k)
+select event_id, case when ok then 'ok' else 'unparseable_response' end as status, case when ok then try_cast(replace(replace(trim(k), ',', ''), '$', '') as double) end as k, case when ok then try_cast(replace(replace(trim(b), ',', ''), '$', '') as double) end as b from f""")
 def parse_json_response(spark, d):
-    p = model.parse_reply(F.col("reply"), ["a", "b"])
-    return spark.createDataFrame([(x,) for x in _REPLIES], "reply string").withColumn("p", p).select("reply", "p.status", "p.values.a", "p.values.b")
+    p, user = F.col("props"), (F.col("user_id") % 90 + 10).cast("string")
+    shapes = [p, F.concat(F.lit("The answer: "), p, F.lit(" as asked")), F.lit("[1, 2]"), F.concat(F.lit("{broken "), p), F.concat(F.lit('{"k": null, "b": "$1,0'), user, F.lit('.5"}')), F.lit('{"k": true, "b": "x"}'), F.lit("")]
+    reply = F.get(F.array(*shapes), (F.col("event_id") % 7).cast("int"))
+    return t(spark, d, "events").select("event_id", model.parse_reply(reply, ["k", "b"]).alias("p")).select("event_id", "p.status", "p.values.k", "p.values.b")
+
+
+_ASKED = [Field("words", "Number of words", "", "instant"), Field("rate", "Rate", "", "instant", unit="USD/shares")]
+
+
+def _asked_documents(spark, d):
+    """Conversations as documents: their turns are the text, the first role is the company, the number the report date."""
+    turns = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
+    company = F.when(F.col("conv_id") % 5 != 0, F.get("r", 0)["role"])
+    return turns.select(F.col("conv_id").cast("string").alias("doc_id"), text.alias("text"), company.alias("company"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 300).cast("int")).alias("report_date"))
+
+
+_ASKED_SQL = """with c as (select cast(conv_id as varchar) as doc_id, string_agg(role || ': ' || text, chr(10) order by turn) as text, case when conv_id % 5 <> 0 then arg_min(role, turn) end as company, date '2024-01-01' + cast(conv_id % 300 as int) as report_date from conversations group by conv_id),
+w as (select doc_id, unnest(range(0, greatest(length(text) - 900, 0) + 1, 300)) as start, text from c),
+s as (select doc_id, text, start, (select sum((length(x) - length(replace(x, v, ''))) // length(v)) from (values ('the'), ('ion')) t(v)) as score from (select *, lower(substr(text, start + 1, 900)) as x from w)),
+b as (select doc_id, arg_max(substr(text, cast(start + 1 as bigint), 900), score * 1000000 - start) as context, any_value(length(text) > 900) as truncated from s group by doc_id)
+"""
+
+
+@query(_ASKED_SQL + """select doc_id, truncated, 'Annual report of ' || coalesce(company, 'an unnamed company') || ' for the period that ended on ' || strftime(report_date, '%Y-%m-%d') || '.
+Read these values of that period from the report below:
+- words: Number of words, in full units of money
+- rate: Rate, per share as printed
+Reply with a single JSON object that has those names as keys. A value that the report does not print is null.
+
+=== report ===
+' || context || '
+=== end of report ===' as prompt from c join b using (doc_id)""")
+def user_prompt(spark, d):
+    """What a model is asked for each document, its text cut to the densest 900 letters."""
+    docs = _asked_documents(spark, d)
+    found = model.contexts(docs.select("doc_id", "text"), model.Settings(char_budget=900), stride=300, vocabulary=("the", "ion"))
+    return docs.join(found, "doc_id").select("doc_id", "truncated", model.prompt(F.col("company"), F.col("report_date"), F.col("context"), _ASKED).alias("prompt"))
+
+
+def _counting():
+    """A provider that reads the report: it answers with the number of its words, and the share of them that are long."""
+
+    class Counting:
+        def complete(self, system, user, max_tokens, temperature):
+            words = user.split("=== report ===\n")[1].split("\n=== end of report ===")[0].split()
+            if len(words) % 10 == 0:
+                raise model.Failed(400)
+            answer = json.dumps({"words": f"{len(words):,}", "rate": None if len(words) % 3 == 0 else len(words) / 8})
+            return f"Here it is: {answer}", len(words), 2
+
+    return Counting()
+
+
+@query(r"""with c as (select cast(conv_id as varchar) as doc_id, string_agg(role || ': ' || text, chr(10) order by turn) as text from conversations group by conv_id),
+n as (select doc_id, len(regexp_extract_all(text, '[^\s]+')) as n from c)
+select doc_id, field, run_label, case when n % 10 = 0 then null when field = 'words' then cast(n as double) when n % 3 <> 0 then n / 8 end as predicted,
+case when n % 10 = 0 then 'llm_error' when field = 'rate' and n % 3 = 0 then 'llm_no_answer' else 'ok' end as status, case when n % 10 <> 0 then n / 2 end as input_tokens, case when n % 10 <> 0 then (n / 1e6 * 3.0 + 2 / 1e6 * 5.0) / 2 end as usd
+from n cross join (values ('words'), ('rate')) f(field) cross join (values ('run1'), ('run2')) r(run_label)""")
+def model_stub(spark, d):
+    """A model run whole: contexts, prompts, calls of two runs, replies, prices. The provider counts words, so that SQL can tell the answers."""
+    docs = _asked_documents(spark, d)
+    found = model.run_model(docs.select("doc_id", "text"), docs.drop("text"), _counting, readers.pricing(spark, {"stub": (3.0, 5.0)}), model.Settings(), runs=2, fields=_ASKED)
+    return found.select("doc_id", "field", "run_label", "predicted", "status", "input_tokens", "usd")
 
 
 _PARTS = ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 15 * k}, 15) as ubigint)) as varchar) as s{k}" for k in range(4))
@@ -537,9 +611,3 @@ def user_sessions(spark, d):
 @query()
 def prepare_html(spark, d):
     return html.prepare(t(spark, d, "pages"), "page_id", "html").select("doc_id", "raw_chars", "stripped_chars", F.size("tables").alias("n_tables"), F.length("text").alias("n_text"))
-
-
-@query()
-def model_stub(spark, d):
-    prompts = t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
-    return model.call_model(prompts, model.StubProvider, model.Settings()).select("conv_id", "turn", "reply", "input_tokens", "output_tokens", "error")
