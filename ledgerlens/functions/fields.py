@@ -124,10 +124,11 @@ FIELDS = [
 
 def first_match(label: Column, patterns: tuple[str, ...]) -> Column:
     """The number of the first pattern that matches at the label's start, or null: one CASE of literal patterns."""
-    out = F.lit(None).cast("int")
-    for k in reversed(range(len(patterns))):
-        out = F.when(label.rlike(f"^(?:{patterns[k]})"), k).otherwise(out)
-    return out
+    out = None
+    for k, p in enumerate(patterns):
+        hit = label.rlike(f"^(?:{p})")
+        out = F.when(hit, k) if out is None else out.when(hit, k)
+    return F.lit(None).cast("int") if out is None else out
 
 
 def matches_any(label: Column, patterns: tuple[str, ...]) -> Column:
