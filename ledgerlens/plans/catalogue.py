@@ -12,9 +12,9 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import figures, headers, scoring
+from ..functions import figures, headers, scoring, sql
 from ..functions.fields import Field, first_match, matches_any
-from ..operators import hybrid, labels, model, nearby, score, split, stats
+from ..operators import hybrid, labels, model, nearby, patterns, score, split, stats
 from ..sources import html, readers
 from ..streaming import ingest
 from . import report
@@ -141,6 +141,25 @@ def label_priority(spark, d):
     return t(spark, d, "part").select("p_partkey", "p_type", F.when(~matches_any(label, _VETO), first_match(label, _ORDERED)).alias("priority"))
 
 
+@query("select p_partkey, cast(dense_rank() over (order by lower(p_type)) - 1 as int) as priority from part")
+def pattern_index(spark, d):
+    """Every type of part is a pattern; labels are types with their brands. Types are as many as the trade knows, not as parts."""
+    part = t(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("label"))
+    kinds = tuple(sorted(r.k for r in t(spark, d, "part").select(F.lower("p_type").alias("k")).distinct().collect()))
+    return patterns.first_matches(part, "label", tuple(f"^{k} .*$" for k in kinds)).select("p_partkey", "priority")
+
+
+@query("""select cast(page_id as bigint) as page_id, cast(r as int) as row_index, cast(c as int) as cell_index, case when r = 0 then case when c = 0 then 'page' else 'letters' end when c = 0 then cast(page_id as varchar) else cast(length(html) as varchar) end as cell
+from pages cross join range(2) x(r) cross join range(2) y(c)""")
+def page_cells(spark, d):
+    """The table function in SQL, over pages with a table behind their own markup."""
+    sql.register(spark)
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    rows = [F.lit("<table><tr><td>page</td><th>letters</th></tr><tr>"), cell(F.col("page_id").cast("string")), cell(F.length("html").cast("string")), F.lit("</tr></table>")]
+    t(spark, d, "pages").select("page_id", F.concat("html", *rows).alias("made")).createOrReplaceTempView("made_pages")
+    return spark.sql("select page_id, row_index, cell_index, cell from page_cells(table(made_pages), 'page_id', 'made')")
+
+
 # ---- labels from facts -----------------------------------------------------------------------
 
 _FACT_FIELDS = [

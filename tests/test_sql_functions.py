@@ -1,9 +1,12 @@
-from ledgerlens.functions import figures, scoring, sql
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import figures, scoring, sql
+
 
 def test_functions_in_sql(spark):
-    assert sql.register(spark) == ["parse_figure", "values_agree", "document_key", "explode_cells"]
+    assert sql.register(spark) == ["parse_figure", "values_agree", "document_key", "explode_cells", "page_cells"]
     tokens = ["1,234", "(565)", "(5", "-5", "(-5)", "$1,234.5", "", "-", "abc", None, " 42 "]
     spark.createDataFrame([(x,) for x in tokens], "token string").createOrReplaceTempView("tokens")
     both = spark.table("tokens").select(F.expr("parse_figure(token)").alias("a"), figures.parse_figure(F.col("token")).alias("b")).collect()
@@ -15,3 +18,19 @@ def test_functions_in_sql(spark):
     spark.createDataFrame([(1, [["a", "b"], [], ["c"]])], "id int, cells array<array<string>>").createOrReplaceTempView("printed")
     got = spark.sql("select id, x.* from printed, lateral explode_cells(cells) as x").collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 2, 0, "c")]
+
+
+def test_cells_of_pages_in_sql(spark):
+    sql.register(spark)
+    page = "<p>x</p><table><tr><td>a</td><td>1</td></tr><tr><td></td><td>2</td></tr></table><table><tr><th>b</th></tr></table>"
+    df = spark.createDataFrame([(7, page, "k", 1), (8, None, "k", 2), (9, "", "m", 3), (10, page, "m", 4)], "page_id long, Html string, kind string, n int")
+    df.createOrReplaceTempView("landed")
+    want = [(0, 0, 0, "a"), (0, 0, 1, "1"), (0, 1, 0, ""), (0, 1, 1, "2"), (1, 0, 0, "b")]
+    for clause in ("", " partition by (kind) order by (n)"):
+        got = spark.sql(f"select * from page_cells(table(landed){clause}, 'page_id', 'html') order by page_id, table_index, row_index, cell_index")
+        assert got.dtypes == [("page_id", "bigint"), ("table_index", "int"), ("row_index", "int"), ("cell_index", "int"), ("cell", "string")]
+        assert [tuple(r) for r in got.collect()] == [(k, *x) for k in (7, 10) for x in want]
+    assert spark.sql("select * from page_cells(table(landed), 'kind', 'html')").dtypes[0] == ("kind", "string")
+    for call in ("table(landed), 'page_id', 'no'", "table(landed), 'page_id', 'n'", "1, 'page_id', 'html'"):
+        with pytest.raises(AnalysisException, match="page_cells"):
+            spark.sql(f"select * from page_cells({call})")
