@@ -11,22 +11,23 @@ a part of an item counts like the whole: the lemma is applied to windows of PART
 of PART_SHARE of a shorter one, and those that reach the count are aligned, each within its own budget.
 They start an edit budget apart, so that every verbatim passage of that length lies near one of them.
 
-The index of the benchmark goes to every task. It is taken in blocks of BLOCK_BYTES item bytes, each
-of which is a pass over the documents, so that its size is bounded whatever the benchmark.
+The index of the benchmark goes to every task. It is taken in blocks of BLOCK_BYTES item bytes, each of which
+is a pass over the documents and a job of its own, so that a task holds one block's index whatever the benchmark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, documents_of, gram_hashes, slices, text_bytes
+from .common import BASE, LOWER, documents_of, gram_hashes, materialize, slices, text_bytes
 
-Q, EDIT_SHARE, BLOCK_BYTES = 12, 0.07, 16 << 20
+Q, EDIT_SHARE, BLOCK_BYTES = 12, 0.07, 4 << 20
 #: Bytes of a part of an item, or the share of it if that is less.
 PART, PART_SHARE = 200, 0.8
 _FOLD = LOWER.copy()
@@ -266,47 +267,70 @@ def _hits(index: Index, column: pa.Array) -> list[list[dict]]:
     return [sorted(h, key=lambda x: (x["item_id"], x["start"])) for h in hits]
 
 
-def matches(docs: DataFrame, blocks: Iterable[list[tuple[int, str]]], q: int, share: float, regions: bool = False) -> DataFrame:
-    """(doc_id, text, hits) of every row; one pass for each bounded block of items, all in one stage, so that rows stay apart whatever their ids."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
-    out = docs.select("doc_id", "text", F.array().cast(HITS).alias("hits"))
-    for items in blocks:
-        held = docs.sparkSession.sparkContext.broadcast(items)
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, q, share, regions)
-            for batch in batches:
-                hits = [a + b for a, b in zip(batch.column(2).to_pylist(), _hits(index, batch.column(1)), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, kind)], names=["doc_id", "text", "hits"])
 
-        out = out.mapInArrow(run, f"doc_id long, text string, hits {HITS}")
-    return out
-
-
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> list[DataFrame]:
     """The items that are not empty, in blocks of about BLOCK_BYTES; one block at least."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("item")).where("length(item) > 0")
     total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item_id, r.item) for r in part.collect()]
+    return [items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", regions: bool = True) -> DataFrame:
-    """The rows of `docs` that hold no item, and by default no part of one. A row is judged by its own text, so ids may be null or repeated."""
-    documents_of(docs, text_col=text_col)  # holds the Arrow batches to BATCH_BYTES
-    out = docs
-    for items in _blocks(benchmark, item_col, item_text_col):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+def _pass(rows: DataFrame, block: DataFrame, q: int, share: float, regions: bool, every: bool) -> DataFrame:
+    """(key, hits) of rows (key, text): of every row, or only of those with hits."""
+    held = rows.sparkSession.sparkContext.broadcast([(r.item_id, r.item) for r in block.collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, q, share, regions)
-            for batch in batches:
-                yield batch.filter(pa.array([not h for h in _hits(index, batch.column(text_col))], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(held.value, q, share, regions)
+        for batch in batches:
+            hits = _hits(index, batch.column(1))
+            on = [every or bool(h) for h in hits]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(on, pa.bool_())), pa.array([h for h, x in zip(hits, on, strict=True) if x], _KIND)], names=["key", "hits"])
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return rows.mapInArrow(run, f"key long, hits {HITS}")
+
+
+def _passes(docs: DataFrame, blocks: list[DataFrame], q: int, share: float, regions: bool, text: str) -> tuple[DataFrame, DataFrame, str]:
+    """(docs, written, with a row number; (key, hits) of rows with hits; the number's name). Each block is a job, and the next begins when it has ended.
+
+    So a task holds the index of one block, however many there are, and a pass writes only its hits.
+    """
+    row = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns)) + "row"
+    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    found = [materialize(_pass(kept.select(F.col(row).alias("key"), F.col(f"`{text}`").cast("string").alias("text")), b, q, share, regions, False), "hits") for b in blocks]
+    return kept, reduce(DataFrame.unionByName, found), row
+
+
+def matches(docs: DataFrame, blocks: list[DataFrame], q: int, share: float, regions: bool = False) -> DataFrame:
+    """(doc_id, hits) of every row (doc_id, text); rows stay apart whatever their ids. One block is searched as the rows are read."""
+    if len(blocks) == 1:
+        return _pass(docs.select("doc_id", "text"), blocks[0], q, share, regions, True).withColumnRenamed("key", "doc_id")
+    kept, found, row = _passes(docs, blocks, q, share, regions, "text")
+    each = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # of one row: at most one of each item
+    return kept.select("doc_id", row).join(each, F.col(row) == F.col("key"), "left").select("doc_id", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", regions: bool = True) -> DataFrame:
+    """The rows of `docs` that hold no item, and by default no part of one.
+
+    A row is judged by its own text, so ids may be null or repeated; null and empty texts stay; an empty table on
+    either side changes nothing.
+    """
+    documents_of(docs, text_col=text_col)  # holds the Arrow batches to BATCH_BYTES
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    if len(blocks) > 1:
+        kept, found, row = _passes(docs, blocks, q, share, regions, text_col)
+        return kept.join(found.select(F.col("key").alias(row)).distinct(), row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.item) for r in blocks[0].collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(held.value, q, share, regions)
+        for batch in batches:
+            yield batch.filter(pa.array([not h for h in _hits(index, batch.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", regions: bool = False) -> DataFrame:

@@ -160,3 +160,19 @@ def test_rows_stay_apart_with_several_blocks(spark, docs, monkeypatch):
     assert one == [("7", []), ("7", [1, 2]), ("7", [2]), ("7", [2]), ("None", []), ("None", [1])]
     monkeypatch.setattr(d, "BLOCK_BYTES", 50)
     assert told() == one
+
+
+def test_a_task_holds_one_index_whatever_the_benchmark(spark, docs, monkeypatch):
+    """With many blocks no plan has two searches in it, and results are those of one block."""
+    items = [f"item number {k} " + " ".join(f"w{(k * 37 + j * 11) % 997}" for j in range(12)) for k in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"before it {items[k]} after it" if k % 3 else f"nothing of {k}" for k in range(60)] + [items[4] + " and " + items[5], None, ""]
+    rows = docs([*enumerate(texts), (3, items[9]), (None, items[7])])
+    want = sorted(map(str, d.contaminated(rows, bench, regions=True).collect()))
+    kept = sorted(map(str, d.without_contaminated(rows, bench).collect()))
+    monkeypatch.setattr(d, "BLOCK_BYTES", 300)
+    assert len(d._blocks(bench, "item_id", "text")) > 10
+    many, stays = d.contaminated(rows, bench, regions=True), d.without_contaminated(rows, bench)
+    assert sorted(map(str, many.collect())) == want and sorted(map(str, stays.collect())) == kept and stays.columns == rows.columns
+    for df in (many, stays):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
