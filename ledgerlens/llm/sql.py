@@ -47,6 +47,6 @@ k as (select up as path, depth - 1 as depth, count(*) as n_children from n where
 m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (path, depth)),
 u as (select path as below, depth as below_depth, path, depth, up, words, n_convs, n_children from m
   union all select u.below, u.below_depth, m.path, m.depth, m.up, u.words, u.n_convs, u.n_children from u join m on m.path = u.up and m.depth = u.depth - 1),
-s as (select path, depth, count_if(n_children = 0) as n_leaves, sum((n_convs - 1) * words) as saved_tokens from u group by all)
+s as (select path, depth, cast(count_if(n_children = 0) as bigint) as n_leaves, sum((n_convs - 1) * words) as saved_tokens from u group by all)
 select m.c as conv_id, m.depth, e.c as parent_conv_id, m.n_convs, m.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, m.ends_sha256
 from m join s using (path, depth) left join m e on e.path = m.up and e.depth = m.depth - 1"""
