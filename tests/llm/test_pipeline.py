@@ -4,7 +4,7 @@ from ledgerlens.llm.queries import QUERIES
 
 
 def test_every_operator_has_its_query():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
 
 
 def test_stages_take_effect(spark, sf_dir):
