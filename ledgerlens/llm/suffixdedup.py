@@ -39,6 +39,8 @@ LENGTH, Q = 50, 20
 HOT = 1 << 14
 #: Contexts that are refined at once, those of one bucket at most, and bytes of text in a block.
 PIECE, LARGEST, BLOCK_BYTES = 1 << 12, 1 << 15, 4 << 20
+#: Blocks that one row lists for a text, so that no row grows with the corpus, however many blocks hold the text.
+LISTED = 1 << 16
 
 
 def anchors(b: np.ndarray, off: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -406,6 +408,24 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([_row(None, t, t, 0) for t in texts], schema=RESULT)
 
 
+def _copies(dealt: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, digest, least): each text that several documents have, in each block that holds it, with its least document.
+
+    A row lists LISTED blocks at most. With more blocks than that a text has a row for each of some lists;
+    all of them meet the text's least document by a join, at eight bytes for 4 MB of the corpus.
+    """
+    digests = dealt.select("block", "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    held = F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.collect_set("block").alias("blocks")
+    lists = -(-n_blocks // LISTED)
+    if lists == 1:
+        several = digests.groupBy("digest").agg(*held).where("least < most")
+    else:
+        parts = digests.groupBy("digest", F.pmod("block", F.lit(lists))).agg(*held)
+        totals = parts.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+        several = parts.select("digest", "blocks").join(totals, "digest")
+    return several.select(F.explode("blocks").alias("block"), "digest", "least")
+
+
 def substring_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is left of every document without the strings of `length` bytes that an earlier one has.
 
@@ -424,9 +444,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text
     dealt = rows.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text")
     # every step reads the text under the same plan, so that its exchange is made once
     whole = dealt.mapInArrow(_squeeze, "block long, doc long, z binary, own binary")
-    digests = dealt.where("text is not null").select("block", "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    copies = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.collect_set("block").alias("blocks")).where("least < most")
-    copies = copies.select(F.explode("blocks").alias("block"), "digest", "least")
+    copies = _copies(dealt.where(F.octet_length("text") >= length), n_blocks)
 
     def by_block(more: DataFrame, f, schema: str) -> DataFrame:
         return whole.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(f, schema)

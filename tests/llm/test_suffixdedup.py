@@ -49,6 +49,16 @@ def test_against_brute_force(docs, hard, monkeypatch, piece, hot):
     assert found(docs(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("listed", [1 << 16, 3])
+def test_one_text_in_every_block(docs, monkeypatch, listed):
+    """The blocks that hold it fill several lists; the empty text and one of 49 bytes are everywhere, too."""
+    monkeypatch.setattr(suffixdedup, "LISTED", listed)
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 1 << 10)
+    same = "the same passage of more than fifty bytes is in every block of the table"
+    rows = [(i, (same, "", "y" * 49, f"{i} {same} {i}")[i % 4]) for i in range(400, 0, -1)]
+    assert found(docs(rows)) == brute(rows)
+
+
 def test_table_of_the_driver(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert found(df) == brute([(r.doc_id, r.text) for r in df.collect()])
