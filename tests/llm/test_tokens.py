@@ -47,6 +47,31 @@ def test_null_ids_repeats_and_no_rows(docs):
     assert tokenfile.token_files(docs([(1, "x")]).where("false"), WORDS).count() == 0
 
 
+def test_small_shards_and_ranges(docs, spark, hard, tokenizer, tmp_path):
+    """Shards of some bytes, read by ranges of some bytes, mapped and not; null ids lie in several shards."""
+    rows = [(None if i % 3 == 0 else i // 2, t) for i, t in enumerate((hard + ODD) * 6)]
+    folder = f"file://{tmp_path}/tokens"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        manifest = tokenfile.write_shards(docs(rows), folder, WORDS, shard_bytes=64)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(manifest) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = sorted((str(i), *tokenizer.encode(t or "", add_special_tokens=False).ids, 1) for i, t in rows)
+    for mapped in (True, False):
+        found, ids, nulls = [], [], 0
+        for m in manifest:
+            parts = list(tokenfile.Shard(folder, m["name"], False, mapped).documents(m["n_docs"], 16))
+            some = [int(d) for p in parts for d in p[0]]
+            nulls += tokenfile.NO_ID in some
+            ids += some
+            for d, off, flat in parts:
+                found += [(str(None if i == tokenfile.NO_ID else i), *flat[x - off[0] : y - off[0]].tolist()) for i, x, y in zip(d.tolist(), off, off[1:], strict=False)]
+        assert sorted(found) == want and ids == sorted(ids) and nulls > 1
+    got = sorted(tokenfile.read_shards(spark, folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+
+
 def brute_limits(x, c, k):
     best = None
     for m in range(1, min(k, len(x)) + 1):
