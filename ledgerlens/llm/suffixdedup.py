@@ -16,6 +16,7 @@ refined, by the buckets of the suffixes further on:
 4. Refinement, see `refine`: suffixes of a bucket are sorted by the bucket pointers of the suffixes
    `depth` bytes further on, which doubles the depth; the pointers so updated serve the next round,
    until the depth is `length`. Pointers stand for bytes, not for hashes, so equal ones are equal strings.
+   Equal contexts are refined as one, for the least of their documents, so copies cost no refinement.
 
 The text is shuffled once, compressed; its exchange is shared by the steps that read it.
 """
@@ -350,25 +351,44 @@ def _refined(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _gone(t: pa.Table, length: int, earliest: dict[bytes, int] | None) -> pa.RecordBatch:
-    """The ranges that go of some contexts. earliest: documents of strings that were met before, and of those met now."""
-    b, off = text_bytes(t.column("bytes"))
-    sizes = np.diff(off)
-    doc, block, r, at = (t.column(k).to_numpy() for k in ("doc", "block", "r", "at"))
-    context = np.repeat(np.arange(t.num_rows), sizes)
-    pos, starts, counts = refine(b, sizes, doc, length)
-    owner = doc[context[pos]]
-    gone = pos[owner > np.repeat(np.minimum.reduceat(owner, starts), counts)] if len(pos) else pos
+    """The ranges that go of some contexts. earliest: documents of strings that were met before, and of those met now.
+
+    Equal contexts are refined as one, for their least document; of the others' rows all bytes go. A context
+    without a different one beside it in its bucket is settled and takes no part in refinement.
+    """
+    told = t.column("bytes").combine_chunks().dictionary_encode()
+    b, off = text_bytes(told.dictionary)
+    which, sizes = told.indices.to_numpy(), np.diff(off)
+    key, doc, block, r, at = (t.column(k).to_numpy() for k in ("key", "doc", "block", "r", "at"))
+    least = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc)
+    starts, counts = _runs(key)
+    mixed = np.minimum.reduceat(which, starts) < np.maximum.reduceat(which, starts)
+    on = np.zeros(len(sizes), bool)
+    on[which[np.repeat(mixed, counts)]] = True
+    on = np.flatnonzero(on)
+    flat, stop = _pack(b, off[on], sizes[on])
+    pos, starts, counts = refine(flat, sizes[on], least[on], length)
+    c = np.searchsorted(stop, pos, side="right")
+    owner = least[on[c]]
+    gone = owner > np.repeat(np.minimum.reduceat(owner, starts), counts) if len(pos) else np.empty(0, bool)
+    gone = (pos + (off[on] - stop + sizes[on])[c])[gone]
     if earliest is not None:
         more = []
-        for p in np.flatnonzero(off[1:][context] - np.arange(len(b)) >= length).tolist():
-            d = int(doc[context[p]])
-            if earliest.setdefault(b[p : p + length].tobytes(), d) < d:
-                more.append(p)
+        for d, lo, hi in zip(least.tolist(), off.tolist(), (off[1:] - length + 1).tolist(), strict=False):
+            more += [p for p in range(lo, hi) if earliest.setdefault(b[p : p + length].tobytes(), d) < d]
         gone = np.union1d(gone, np.array(more, np.int64))
-    c = context[gone]
-    span, a, e = _merged(c, at[c] + gone - off[c], length)
-    also = t.column("also").take(pa.array(span))
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block[span], r[span], a, e)] + [also.combine_chunks()], names=SPANS)
+    c = np.searchsorted(off, gone, side="right") - 1
+    span, a, e = _merged(c, gone - off[c], length)
+    n = np.bincount(span, minlength=len(sizes))
+    first = np.flatnonzero(doc == least[which])
+    copies = np.flatnonzero((doc > least[which]) & (sizes[which] >= length))
+    n, begin = n[which[first]], (np.cumsum(n) - n)[which[first]]
+    k = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+    row = np.concatenate([np.repeat(first, n), copies])
+    a, e = np.concatenate([a[k], np.zeros(len(copies), np.int64)]), np.concatenate([e[k], sizes[which[copies]]])
+    also = t.column("also").take(pa.array(row))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (block[row], r[row], at[row] + a, at[row] + e)] + [also.combine_chunks()], names=SPANS)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])

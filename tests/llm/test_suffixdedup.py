@@ -95,6 +95,51 @@ def test_a_bucket_larger_than_a_piece(monkeypatch):
         assert refined_directly(rows, 50, piece, monkeypatch) == want
 
 
+def test_equal_contexts_are_refined_as_one(monkeypatch):
+    """The bytes that are refined grow with the different contexts of a bucket, not with the documents that hold them."""
+    rng = random.Random(11)
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    alone, one = text(80), text(70)
+    other = one[:60] + b"#" * 9  # shares its first strings with `one`
+    rows = [(1, d, alone) for d in range(900)] + [(2, d, other if d % 5 == 2 else one) for d in range(700)]
+    refined, f = [], suffixdedup.refine
+    monkeypatch.setattr(suffixdedup, "refine", lambda b, *k, **o: (refined.append(len(b)), f(b, *k, **o))[1])
+    t = pa.Table.from_pylist([{"key": k, "doc": d, "block": k, "r": d, "at": 7, "bytes": b} for k, d, b in rows], schema=suffixdedup.CONTEXTS)
+    got = {(s["block"], s["r"]): (s["a"], s["e"]) for batch in suffixdedup._refined(iter([t.to_batches()[0]]), 50) for s in batch.to_pylist()}
+    want = {(1, d): (7, 87) for d in range(1, 900)} | {(2, d): (7, 76 if d % 5 == 2 else 77) for d in range(1, 700)}
+    want[2, 2] = (7, 67)  # the earliest with `other`: only what `one` has, too
+    assert got == want
+    assert sum(refined) == len(one) + len(other)
+
+
+@pytest.mark.parametrize("piece", [1 << 12, 40, 8])
+def test_repeated_contexts_against_brute_force(monkeypatch, piece):
+    """Also if one document holds a context several times, and if a bucket fills several pieces."""
+    monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    monkeypatch.setattr(suffixdedup, "LARGEST", 2 * piece)
+    rng = random.Random(piece)
+    core = bytes(rng.choice(b"abc") for _ in range(90))
+    forms = [core[a:e] for a, e in ((0, 90), (0, 60), (20, 75), (35, 90), (40, 90), (5, 56))] + [core[10:60] + b"?", b"!" + core[1:71], core[30:70]]
+    rows = sorted((rng.randrange(3), rng.randrange(-20, 40), rng.choice(forms)) for _ in range(300))
+    t = pa.Table.from_pylist([{"key": k, "doc": d, "block": k, "r": i, "at": 0, "bytes": b} for i, (k, d, b) in enumerate(rows)], schema=suffixdedup.CONTEXTS)
+    gone = [set() for _ in rows]
+    for batch in suffixdedup._refined(iter(t.to_batches(max_chunksize=17)), 20):
+        for s in batch.to_pylist():
+            assert s["e"] - s["a"] >= 20
+            gone[s["r"]] |= set(range(s["a"], s["e"]))
+    first = {}
+    for _, d, b in rows:
+        for p in range(len(b) - 19):
+            first[b[p : p + 20]] = min(first.get(b[p : p + 20], d), d)
+    within = {}
+    for k, d, b in rows:
+        for p in range(len(b) - 19):
+            within[k, b[p : p + 20]] = min(within.get((k, b[p : p + 20]), d), d)
+    for (k, d, b), g in zip(rows, gone, strict=True):
+        least, most = ({x for p in range(len(b) - 19) if found(b[p : p + 20]) < d for x in range(p, p + 20)} for found in (lambda x, k=k: within[k, x], lambda x: first[x]))
+        assert least <= g <= most  # all that its bucket tells, and nothing that no earlier document has
+
+
 def test_hot_buckets_are_split(spark, docs, monkeypatch):
     """A passage that all documents share, and its different surroundings: no key keeps more rows than there are blocks."""
     monkeypatch.setattr(suffixdedup, "HOT", 50)
