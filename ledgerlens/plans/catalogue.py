@@ -488,9 +488,8 @@ def wrong_period_near_zero(spark, d):
     line = t(spark, d, "lineitem")
     money = F.col("l_discount") * F.col("l_tax") * F.when(F.col("l_linenumber") % 3 == 0, -1).otherwise(1)
     rows = line.select("l_orderkey", "l_linenumber", "l_partkey", money.alias("money"), (F.col("l_quantity") % 5 / 100).alias("per_share"))
-    one = nearby.with_other_period(rows, rows, ["l_partkey"], "l_orderkey", "money", F.lit("USD"))
-    two = nearby.with_other_period(one, rows, ["l_partkey"], "l_orderkey", "per_share", F.lit("USD/shares"), "other_share")
-    return two.select("l_orderkey", "l_linenumber", "other_period", "other_share")
+    checks = {"other_period": ("money", F.lit("USD")), "other_share": ("per_share", F.lit("USD/shares"))}
+    return nearby.with_other_periods(rows, ["l_partkey"], "l_orderkey", checks).select("l_orderkey", "l_linenumber", "other_period", "other_share")
 
 
 @query(f"""select l_orderkey, l_linenumber, {_scaled('(l_extendedprice * pow(10, l_partkey % 11 - 5))', '(l_extendedprice * (1 + l_discount / 20))')} as is_scaling_error from lineitem where l_extendedprice > 0""")

@@ -56,3 +56,45 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, ve int, v double")
     assert not nearby.with_other_period(rows, none, ["k"], "e", "p", F.col("u"), "hit", "ve", "v").first().hit
     assert nearby.with_other_period(rows.where("false"), none, ["k"], "e", "p", F.col("u"), "hit", "ve", "v").count() == 0
+
+
+def shuffles(df):
+    """Exchanges by a key in the plan that ran, without broadcasts and counts of cells."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return [x.strip() for x in final.splitlines() if "Exchange hashpartitioning" in x]
+
+
+def own(spark, rows, hot):
+    df = spark.createDataFrame(rows, "k string, e int, p double, q double, u string").repartition(3)
+    out = nearby.with_other_periods(df, ["k"], "e", {"hit": ("p", F.col("u")), "share": ("q", F.lit("USD/shares"))}, hot)
+    assert out.columns == ["k", "e", "p", "q", "u", "hit", "share"]
+    return sorted(str(tuple(r)) for r in out.collect())
+
+
+@pytest.mark.parametrize("hot", [0, 60, nearby.HOT])
+@pytest.mark.parametrize("seed", range(3))
+def test_own_rows_against_all_pairs(spark, seed, hot):
+    """Sorted, looked up, or some keys each: zeros of both signs, ties, runs of one period, nulls, NaN and infinities."""
+    rng = random.Random(seed)
+
+    def value():
+        base = rng.choice([0.0, -0.0, 0.001, 0.0049, 0.005, 0.0051, 0.1, 0.995, 1.0, 1.005, 2.0, 100.0, 1e9, 1e300, 5e-324])
+        return rng.choice([-1, 1, 1]) * base * (1 + rng.choice([0, 0.004999, 0.005, 0.0050001, 0.0100, 0.0049]) * rng.choice([-1, 1])) + rng.choice([0, 0, 0.001, -0.0049])
+
+    odd = [None, float("inf"), float("-inf"), float("nan")]
+    one = lambda: rng.choice(odd) if rng.random() < 0.1 else value()
+    rows = [(rng.choice("aaaaaabcdefgh"), rng.choice([None, 0, 1, 2, 2, 2, 2]), one(), one(), rng.choice(["USD", "USD/shares"])) for _ in range(160)] + [(None, k, 1.0, 1.0, "USD") for k in range(3)]
+    safe = lambda p, v, u: abs(p) < 1e308 and abs(v) < 1e308 and agree(p, v, u)
+    hit = lambda k, e, x, u, at: k is not None and e is not None and x is not None and any(r[0] == k and r[1] not in (None, e) and r[at] is not None and safe(x, r[at], u) for r in rows)
+    want = [(k, e, p, q, u, hit(k, e, p, u, 2), hit(k, e, q, "USD/shares", 3)) for k, e, p, q, u in rows]
+    assert own(spark, rows, hot) == sorted(map(str, want))
+
+
+def test_near_zero_query_shuffles_rows_once(spark, sf_dir):
+    """Two values of a row are asked about; before, each went to bands of its own, ten rows for a value."""
+    from ledgerlens.plans import catalogue
+
+    found = shuffles(catalogue.wrong_period_near_zero(spark, sf_dir))
+    assert len(found) == 1 and "l_partkey" in found[0]
