@@ -477,7 +477,7 @@ def price_lookup(spark, d):
 @query("""select l_orderkey, l_linenumber, exists (select 1 from lineitem o where o.l_partkey = l.l_partkey and (o.l_orderkey <> l.l_orderkey) and abs(l.l_extendedprice - o.l_extendedprice) / o.l_extendedprice <= 0.005) as other_period from lineitem l""")
 def wrong_period_exists(spark, d):
     line = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return nearby.with_other_period(line, line, ["l_partkey"], "l_orderkey", "l_extendedprice", F.lit("USD")).select("l_orderkey", "l_linenumber", "other_period")
+    return nearby.with_other_periods(line, ["l_partkey"], "l_orderkey", {"other_period": ("l_extendedprice", F.lit("USD"))}).select("l_orderkey", "l_linenumber", "other_period")
 
 
 @query(f"""with v as (select l_orderkey as o, l_linenumber as n, l_partkey as p, l_discount * l_tax * (case when l_linenumber % 3 = 0 then -1 else 1 end) as money, l_quantity % 5 / 100 as per_share from lineitem)

@@ -98,3 +98,10 @@ def test_near_zero_query_shuffles_rows_once(spark, sf_dir):
 
     found = shuffles(catalogue.wrong_period_near_zero(spark, sf_dir))
     assert len(found) == 1 and "l_partkey" in found[0]
+
+
+def test_price_query_shuffles_rows_once(spark, sf_dir):
+    from ledgerlens.plans import catalogue
+
+    found = shuffles(catalogue.wrong_period_exists(spark, sf_dir))
+    assert len(found) == 1 and "l_partkey" in found[0]
