@@ -56,14 +56,36 @@ def table_score(statement: str) -> Column:
     return score - F.when(F.col("preamble").rlike(captions.NOTE_LANGUAGE), CAPTION_BONUS).otherwise(0)
 
 
+def _uncaptioned(statement: str) -> Column:
+    return F.coalesce(F.col("statement") != statement, F.lit(True))
+
+
+def _table() -> Column:
+    return F.struct("index", "labels", "figures", "headings", "dates", "years", "scale", "rows", "preamble")
+
+
 def pick_statements(features: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, wanted, table): the best table for each statement, of those that compare periods, are not interim and score enough."""
-    ranked = [F.struct(F.lit(s).alias("wanted"), table_score(s).alias("score"), F.coalesce(F.col("statement") != s, F.lit(True)).alias("uncaptioned")) for s in ANCHORS]
+    ranked = [F.struct(F.lit(s).alias("wanted"), table_score(s).alias("score"), _uncaptioned(s).alias("uncaptioned")) for s in ANCHORS]
     able = features.where((F.col("comparative") >= LEAST_COMPARATIVE_ROWS) & ~F.col("interim"))
     each = able.withColumn("_c", F.explode(F.array(*ranked))).where(F.col("_c.score") >= LEAST_SCORE)
-    table = F.struct("index", "labels", "figures", "headings", "dates", "years", "scale", "rows", "preamble")
     order = F.struct(F.col("_c.uncaptioned"), -F.col("_c.score"), F.col("index"))
-    return each.groupBy(key, F.col("_c.wanted").alias("wanted")).agg(F.min_by(table, order).alias("table"))
+    return each.groupBy(key, F.col("_c.wanted").alias("wanted")).agg(F.min_by(_table(), order).alias("table"))
+
+
+def statement_tables(tables: DataFrame, dash_as_zero: bool = False, key: str = "doc_id") -> DataFrame:
+    """pick_statements(table_features(tables)), with only what ranks a table computed for all of them, and the rest for those picked.
+
+    tables: one row for each table; a document's tables are never held together.
+    """
+    comparative = F.size(F.filter("rows", lambda r: F.size(figures.row_figures(r, dash_as_zero)) >= 2))
+    able = tables.where(~captions.is_interim(F.col("rows"))).where(comparative >= LEAST_COMPARATIVE_ROWS)
+    labelled = able.withColumn("labels", F.transform("rows", figures.row_label))
+    scored = labelled.select(key, F.struct("index", "rows", "preamble", "statement", "scale").alias("_raw"), *[F.struct(_uncaptioned(s).alias("uncaptioned"), (-table_score(s)).alias("minus"), "index").alias(f"_{s}") for s in ANCHORS])
+    enough = {s: F.when(F.col(f"_{s}.minus") <= -LEAST_SCORE, F.col(f"_{s}")) for s in ANCHORS}
+    best = scored.groupBy(key).agg(*[F.min_by("_raw", order).alias(s) for s, order in enough.items()])
+    each = best.select(key, F.inline(F.array(*[F.struct(F.lit(s).alias("wanted"), F.col(s).alias("_raw")) for s in ANCHORS]))).where("_raw is not null")
+    return table_features(each.select(key, "wanted", "_raw.*"), dash_as_zero).select(key, "wanted", _table().alias("table"))
 
 
 def _hits(f: Field, t: Column) -> Column:
@@ -116,7 +138,11 @@ def extract(prepared: DataFrame, periods: DataFrame, fields: list[Field] = FIELD
     projections of their own, each read more than once by the next, so that none is merged into it.
     """
     tables = prepared.select("doc_id", F.inline("tables")).where("rows is not null")
-    picked = pick_statements(table_features(tables, dash_as_zero))
+    return read_fields(statement_tables(tables, dash_as_zero), periods, fields)
+
+
+def read_fields(picked: DataFrame, periods: DataFrame, fields: list[Field] = FIELDS) -> DataFrame:
+    """The answers that `extract` gives, from the tables of `statement_tables`."""
     by_statement = picked.groupBy("doc_id").pivot("wanted", list(ANCHORS)).agg(F.first("table"))
     wide = periods.select("doc_id", "report_date").join(by_statement, "doc_id", "left")
     n = range(len(fields))

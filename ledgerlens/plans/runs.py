@@ -68,11 +68,11 @@ select doc_id, field, table_index as statement_table, case when spot is not null
 else (select substr(string_agg(label, ' // ' order by pos), 1, 400) from lab where idx = table_index) end as nearby_rows from ans a left join found using (doc_id, field)""")
 def failure_notes(spark, d):
     """The labels around the row that each answer was read from, or the table's first labels."""
-    tables = statements.printed_tables(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("index", "rows", "preamble", "statement", "scale")).alias("tables"))
+    picked = extract.statement_tables(statements.printed_tables(spark, d))
     n = F.col("n_nationkey")
     periods = t(spark, d, "nation").select(n.cast("string").alias("doc_id"), F.make_date((1994 + n % 4).cast("int"), F.lit(12), F.lit(31)).alias("report_date"))
-    answers = extract.extract(tables, periods, statements.FIELDS)
-    return failures.annotate(answers, tables, statements.FIELDS).select("doc_id", "field", "statement_table", "nearby_rows")
+    answers = extract.read_fields(picked, periods, statements.FIELDS)
+    return failures.annotate_from(answers, picked, statements.FIELDS).select("doc_id", "field", "statement_table", "nearby_rows")
 
 
 @query("select cast(page_id as varchar) as doc_id, page_id % 2 = 0 as reused from pages")

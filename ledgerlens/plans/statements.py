@@ -30,8 +30,8 @@ FIELDS = [
 ]
 
 
-def printed_rows(spark, d):
-    """(doc, index, o_orderkey, cells): the row of each order. A heading has no figures, every third other row one, the rest two."""
+def _orders_with_cells(spark, d):
+    """Orders and their customers, with the cells that each prints. A heading has no figures, every third other row one, the rest two."""
     o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     label = F.lit(None).cast("string")
     for (priority, parity), (shown, _) in LABELS.items():
@@ -41,13 +41,22 @@ def printed_rows(spark, d):
     first = F.when(key % 4 == 0, F.array(F.lit("$"), F.lit("("), one, F.lit(")"))).otherwise(F.array(one, F.lit("")))
     second = F.when(key % 3 == 0, F.array().cast("array<string>")).when(key % 5 == 0, F.array(F.concat(F.lit("("), two), F.lit(")"))).otherwise(F.array(F.lit("$"), two))
     cells = F.when(F.col("o_orderpriority") == "3-MEDIUM", F.array(label)).otherwise(F.concat(F.array(F.lit(""), label), first, second))
-    return o.select(F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_custkey").cast("int").alias("index"), key, cells.alias("cells"))
+    return o.withColumn("cells", cells)
+
+
+def _document_and_table():
+    return F.col("c_nationkey").cast("string").alias("doc_id"), F.col("c_custkey").cast("int").alias("index")
+
+
+def printed_rows(spark, d):
+    """(doc_id, index, o_orderkey, cells): the row of each order."""
+    return _orders_with_cells(spark, d).select(*_document_and_table(), "o_orderkey", "cells")
 
 
 def printed_tables(spark, d):
     """(doc_id, index, rows, preamble, statement, scale): a header of years, for some an interim line, then the rows."""
-    c = t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("index"), "c_mktsegment")
-    rows = printed_rows(spark, d).groupBy("doc_id", "index").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "cells"))).alias("r")).join(c, "index")
+    by = ("c_custkey", "c_nationkey", "c_mktsegment")  # as the join has dealt them, so that no row is shuffled again
+    rows = _orders_with_cells(spark, d).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "cells"))).alias("r")).select(*_document_and_table(), "c_mktsegment", "r")
     statement = F.lit(None).cast("string")
     for segment, name in STATEMENTS.items():
         statement = F.when(F.col("c_mktsegment") == segment, name).otherwise(statement)

@@ -235,3 +235,27 @@ def test_plain_pages_read_as_the_standard_parser_reads_them():
         assert one.seen == two.seen, page
         plain += html._tokens(page) is not None
     assert plain > 1000
+
+
+def test_statement_tables_are_those_of_all_features(spark, sf_dir):
+    """Picked by what ranks a table alone, with nulls among the rows, and with the same features as if all tables had had them."""
+    from ledgerlens.plans import statements
+
+    tables = statements.printed_tables(spark, sf_dir)
+    odd = tables.limit(20).select("doc_id", (F.col("index") + 100_000).cast("int").alias("index"), F.when(F.col("index") % 2 == 0, F.concat("rows", F.array(F.lit(None).cast("array<string>"), F.array(F.lit(None).cast("string"))))).alias("rows"), "preamble", "statement", "scale")
+    tables = tables.unionByName(odd)
+    want = extract.pick_statements(extract.table_features(tables))
+    got = extract.statement_tables(tables)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 20
+
+
+def test_failure_notes_gather_no_document(spark, sf_dir):
+    """The tables of a document are never one row, and orders are read and their tables ranked once."""
+    from ledgerlens.plans import runs
+
+    df = runs.failure_notes(spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "collect_list" in plan and "collect_list(struct(index" not in plan
+    assert sum("FileScan" in x and "o_orderkey" in x for x in plan.splitlines()) == 1
